@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filamenta.llm import secrets, simhash
+from filamenta.llm import packing, secrets, simhash
 from filamenta.session import table
 
 
@@ -17,6 +17,11 @@ def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of at most 4096 tokens that hold every document."""
+    return packing.packed_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every document."""
     return secrets.scan_report(table(spark, sf_dir, "documents"))
@@ -26,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op7_simhash_components,
+        op9_swap_packing,
         op10_secret_scan,
     )
 }
