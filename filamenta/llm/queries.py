@@ -7,16 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filamenta.llm import packing, secrets, simhash
+from filamenta.llm import mixing, packing, secrets, simhash, toxicity
 from filamenta.session import table
 
 
+def op6_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability of being kept under the raked weights, and the draw."""
+    out = mixing.mixed(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.round("keep_probability", 6).alias("keep_probability"), "kept")
+
+
 def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     out = simhash.near_duplicate_components(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, by models that do not see the held-out documents' labels."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = toxicity.fitted(docs, labels.where(~held_out))
+    out = toxicity.scored(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of at most 4096 tokens that hold every document."""
     return packing.packed_documents(table(spark, sf_dir, "documents"))
@@ -30,7 +45,9 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op6_raked_mixture,
         op7_simhash_components,
+        op8_toxicity,
         op9_swap_packing,
         op10_secret_scan,
     )
