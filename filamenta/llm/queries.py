@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filamenta.llm import mixing, packing, secrets, simhash, toxicity
+from filamenta.llm import mixing, packing, secrets, simhash, toxicity, urls
 from filamenta.session import table
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page."""
+    return urls.judged(table(spark, sf_dir, "pages"))
+
+
 def op6_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's probability of being kept under the raked weights, and the draw."""
     out = mixing.mixed(table(spark, sf_dir, "documents"))
@@ -45,6 +50,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op5_url_filter,
         op6_raked_mixture,
         op7_simhash_components,
         op8_toxicity,
@@ -53,4 +59,46 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_RULES_SQL = " UNION ALL ".join(f"SELECT '{v}' AS v, '{h}' AS h, '{p}' AS p" for v, h, p in urls.RULES)
+_URL_SQL = r"""
+WITH RECURSIVE rules AS ({rules}),
+own AS (
+  SELECT page_id, url, html,
+    CASE WHEN url LIKE '%://%' THEN translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{up}', '{low}') ELSE '' END AS host,
+    CASE WHEN url LIKE '%://%' THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+  FROM pages),
+fitted AS (
+  SELECT page_id, url, html, host, path,
+    (SELECT max_by(struct_pack(v := v, r := h || p), length(h || p)) FROM rules WHERE (own.host = h OR ends_with(own.host, '.' || h)) AND starts_with(own.path, p)) AS fit
+  FROM own),
+links AS (
+  SELECT host || CASE WHEN path = '' THEN '/' ELSE path END || regexp_extract(url, '(?s)^.*?://[^/?#]*[^?#]*(\?[^#]*)', 1) AS a, host, path,
+    unnest(regexp_extract_all(html, '(?is)<link\b[^>]*?\brel\s*=\s*["'']?canonical\b[^>]*?\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+      || regexp_extract_all(html, '(?is)<link\b[^>]*?\bhref\s*=\s*["'']?([^"''\s>]+)[^>]*?\brel\s*=\s*["'']?canonical\b', 1)
+      || regexp_extract_all(html, '(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*?\burl\s*=\s*["'']?([^"''\s>]+)', 1)) AS link
+  FROM fitted WHERE url LIKE '%://%'),
+targets AS (
+  SELECT a, CASE WHEN link LIKE '%://%' THEN link WHEN starts_with(link, '//') THEN 'http:' || link WHEN starts_with(link, '/') THEN 'http://' || host || link
+    WHEN starts_with(link, '?') THEN 'http://' || host || path || link
+    ELSE 'http://' || host || CASE WHEN path LIKE '%/%' THEN regexp_extract(path, '(?s)^(.*/)', 1) ELSE '/' END || link END AS t
+  FROM links),
+parts AS (
+  SELECT a, translate(regexp_extract(t, '(?s)^.*?://([^/?#]*)', 1), '{up}', '{low}') AS th, regexp_extract(t, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS tp, t FROM targets),
+edges AS (
+  SELECT a, th || CASE WHEN tp = '' THEN '/' ELSE tp END || regexp_extract(t, '(?s)^.*?://[^/?#]*[^?#]*(\?[^#]*)', 1) AS b,
+    (SELECT max_by(v, length(h || p)) FROM rules WHERE (th = h OR ends_with(th, '.' || h)) AND starts_with(tp, p)) AS tv
+  FROM parts),
+nodes AS (
+  SELECT page_id, fit, host || CASE WHEN path = '' THEN '/' ELSE path END || regexp_extract(url, '(?s)^.*?://[^/?#]*[^?#]*(\?[^#]*)', 1) AS n FROM fitted WHERE url LIKE '%://%'),
+reach(n) AS (
+  SELECT n FROM nodes WHERE fit.v = 'block' UNION SELECT b FROM edges WHERE tv = 'block'
+  UNION
+  SELECT x.b FROM reach JOIN (SELECT a, b FROM edges UNION SELECT b, a FROM edges) x ON reach.n = x.a)
+SELECT f.page_id, f.host, f.path, f.fit.r AS rule,
+  COALESCE(f.fit.v, CASE WHEN nodes.n IN (SELECT n FROM reach) THEN 'block' ELSE 'allow' END) AS verdict
+FROM fitted f LEFT JOIN (SELECT DISTINCT page_id, n FROM nodes) nodes ON f.page_id = nodes.page_id
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_url_filter": _URL_SQL.replace("{rules}", _RULES_SQL).replace("{up}", urls.UPPER).replace("{low}", urls.LOWER).replace("\\\\", "\\"),
+}
