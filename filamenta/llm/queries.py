@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filamenta.llm import mixing, packing, secrets, simhash, toxicity, urls
+from filamenta.llm import mixing, packing, secrets, simhash, toxicity, urls, wrappers
 from filamenta.session import table
 
 
+def op3_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, by its host's wrapper."""
+    return wrappers.extracted(table(spark, sf_dir, "pages"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page."""
     return urls.judged(table(spark, sf_dir, "pages"))
@@ -50,6 +55,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op3_wrapper_text,
         op5_url_filter,
         op6_raked_mixture,
         op7_simhash_components,
