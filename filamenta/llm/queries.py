@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filamenta.llm import mixing, packing, secrets, simhash, toxicity, urls, wrappers
+from filamenta.llm import cover_tree, mixing, packing, secrets, simhash, toxicity, urls, wrappers
 from filamenta.session import table
 
 
+def op2_cover_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest integer inner products of every fiftieth vector with all others."""
+    return cover_tree.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, 5)
+
+
 def op3_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page, by its host's wrapper."""
     return wrappers.extracted(table(spark, sf_dir, "pages"))
@@ -55,6 +60,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op2_cover_tree_top_k,
         op3_wrapper_text,
         op5_url_filter,
         op6_raked_mixture,
@@ -105,6 +111,18 @@ SELECT f.page_id, f.host, f.path, f.fit.r AS rule,
 FROM fitted f LEFT JOIN (SELECT DISTINCT page_id, n FROM nodes) nodes ON f.page_id = nodes.page_id
 """
 
+_TOP_K_SQL = """
+WITH z AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS z FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, p.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.z, p.z), lambda x: x[1] * x[2])) AS BIGINT) AS score
+  FROM z q JOIN z p ON q.vec_id <> p.vec_id AND q.vec_id % 50 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_cover_tree_top_k": _TOP_K_SQL,
     "op5_url_filter": _URL_SQL.replace("{rules}", _RULES_SQL).replace("{up}", urls.UPPER).replace("{low}", urls.LOWER).replace("\\\\", "\\"),
 }
