@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filamenta.llm import cover_tree, mixing, packing, secrets, simhash, toxicity, urls, wrappers
+from filamenta.llm import cover_tree, lsh_forest, mixing, packing, secrets, simhash, toxicity, urls, wrappers
 from filamenta.session import table
 
 
+def op1_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest found for every twentieth vector."""
+    return lsh_forest.neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
+
+
 def op2_cover_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five highest integer inner products of every fiftieth vector with all others."""
     return cover_tree.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, 5)
@@ -60,6 +65,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_lsh_forest,
         op2_cover_tree_top_k,
         op3_wrapper_text,
         op5_url_filter,
