@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filamenta.llm import cover_tree, lsh_forest, mixing, packing, secrets, simhash, toxicity, urls, wrappers
+from filamenta.llm import cover_tree, lsh_forest, mixing, ngram_trie, packing, secrets, simhash, toxicity, urls, wrappers
 from filamenta.session import table
 
 
@@ -26,6 +26,12 @@ def op3_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.extracted(table(spark, sf_dir, "pages"))
 
 
+def op4_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of every document under the n-gram model of those that are not held out."""
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return ngram_trie.scored(table(spark, sf_dir, "documents"), held_out)
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page."""
     return urls.judged(table(spark, sf_dir, "pages"))
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_lsh_forest,
         op2_cover_tree_top_k,
         op3_wrapper_text,
+        op4_ngram_trie,
         op5_url_filter,
         op6_raked_mixture,
         op7_simhash_components,
