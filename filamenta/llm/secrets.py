@@ -189,11 +189,15 @@ def _joined(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def scan_report(spark_df: DataFrame) -> DataFrame:
+def _of_kind(k: int):
+    return lambda x: x["kind"] == k
+
+
+def scan_report(docs: DataFrame) -> DataFrame:
     """Per document: counts by base kind, the digest of the base spans and all spans as text."""
     from filamenta.session import staged
 
-    found = staged(judged(with_matches(spark_df.select("doc_id", "text"))).drop("text"), "secret-candidates")
+    found = staged(judged(with_matches(docs.select("doc_id", "text"))).drop("text"), "secret-candidates")
     out = decided(found, rejection_levels(found))
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+    counts = [F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
     return out.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))

@@ -45,7 +45,7 @@ def test_base_spans_match_plain_patterns(spark):
 def test_battery_takes_random_keys_and_leaves_words(spark):
     rng = random.Random(6)
     b62 = secrets.ALPHABETS["base62"]
-    words = ["unterschiedlichkeitsverordnung", "incomprehensibilities", "some/path/of/words/in/a/tree", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "20240101120000000000000", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa", "Donaudampfschifffahrtsgesellschaft", "JavaScriptCoreFrameworkHeaders2", "abababababABABABABAB0101010101"]
+    words = ["unterschiedlichkeitsverordnung", "incomprehensibilities", "some/path/of/words/in/a/tree", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "20240101120000000000000", "zzzzzzzzzzzzzzzzzzzzzzzzzzzz", "Donaudampfschifffahrtsgesellschaft", "JavaScriptCoreFrameworkHeaders2", "abababababABABABABAB0101010101"]
     keys = [_random(rng, rng.randint(28, 64), b62) for _ in range(60)] + [_random(rng, 40, secrets.ALPHABETS["base64"]) for _ in range(20)]
     rows = [(i, f"see {k} here", 1) for i, k in enumerate(keys)] + [(1000 + i, f"see {w} here", 0) for i, w in enumerate(words * 3)]
     out = secrets.secret_spans(spark.createDataFrame(rows, "doc_id long, text string, label int"))
