@@ -28,33 +28,48 @@ from filamenta.session import staged
 LENGTH, END = 4096, 1
 SHARD = 32768
 REPACK = 0.97
-CACHED_WORDS = 300_000
+CACHED_WORDS = 1_000_000
+TOGETHER = 64  # texts whose words are looked up at once
 ROUNDS = 200
 
 
 class Encoder:
-    """Token ids by a tokenizers file that drops white space, with the ids of words between ASCII white space kept.
+    """Token ids by a tokenizers file that lower-cases and drops white space, with the ids of words kept.
 
-    Such a tokenizer works on each run between white space alone, so ids of the runs, joined, are the ids of the text.
+    Such a tokenizer works on each run between ASCII white space alone, so ids of the runs, joined, are the ids of the
+    text. A mark of MARKS after an ASCII letter is a token of its own, so a word's ids serve with and without it.
     """
 
+    MARKS = b".,;:!?"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
-    def __call__(self, text: str | None) -> bytes:
-        """The text's ids as little-endian unsigned 32-bit numbers."""
-        words = (text or "").encode("utf-8", "replace").split()
+    def _words(self, text: str | None) -> list[bytes]:
+        raw = (text or "").encode("utf-8", "replace")
+        return (raw if b"<|" in raw else raw.lower()).split()  # names of special tokens are read as they are written
+
+    def _learn(self, words: list[bytes]) -> None:
+        known = self.known
+        for w, e in zip(words, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False), strict=True):
+            known[w] = np.array(e.ids, "<u4").tobytes()
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit numbers."""
+        split = [self._words(t) for t in texts]
         known = self.known
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) + len(new) > CACHED_WORDS:
-                known.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+        new = set().union(*split).difference(known)
+        if len(known) + len(new) > CACHED_WORDS:
+            known.clear()
+            new = set().union(*split)
+        marked = {w: w[:-1] for w in new if len(w) > 1 and w[-1] in self.MARKS and 97 <= w[-2] <= 122}
+        stems = new.difference(marked).union(marked.values(), (self.MARKS[k : k + 1] for k in range(len(self.MARKS))))
+        self._learn(list(stems.difference(known)))
+        for w, stem in marked.items():
+            known[w] = known[stem] + known[w[-1:]]
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -79,11 +94,12 @@ def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", length: int =
         encode, end = _encoder(tokenizer), np.uint32(END).tobytes()
         for batch in batches:
             rows: list[tuple] = []
-            for i, t in enumerate(batch.column(1)):
-                buf = encode(t.as_py()) + end
-                for p, at in enumerate(range(0, len(buf), 4 * length)):
-                    part = buf[at : at + 4 * length]
-                    rows.append((i, p, at // 4, len(part) // 4, zlib.crc32(part), part if ids else None))
+            for first in range(0, batch.num_rows, TOGETHER):
+                for i, buf in enumerate(encode(batch.column(1).slice(first, TOGETHER).to_pylist()), first):
+                    buf += end
+                    for p, at in enumerate(range(0, len(buf), 4 * length)):
+                        part = buf[at : at + 4 * length]
+                        rows.append((i, p, at // 4, len(part) // 4, zlib.crc32(part), part if ids else None))
             take, piece, start, n, crc, part = (list(c) for c in zip(*rows, strict=True)) if rows else ([] for _ in range(6))
             columns = [batch.column(0).take(pa.array(take, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(c, pa.int64()) for c in (start, n, crc))]
             names = ["key", "piece", "start", "length", "ids_crc32"]
