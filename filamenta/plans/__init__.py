@@ -1,4 +1,6 @@
 """Registered queries of the fiber-network engine, and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from filamenta.plans import measures, neighbourhoods, particles, shapes, steps, volumes  # noqa: F401
+from filamenta.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
