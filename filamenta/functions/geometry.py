@@ -66,3 +66,8 @@ def minimum_image(delta: Column, length: float, periodic: bool = True) -> Column
 
 def wrap(v: Column, low: float, length: float) -> Column:
     return v - F.lit(length) * F.floor((v - F.lit(low)) / F.lit(length))
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, also where the optimizer moves the result into a filter."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
