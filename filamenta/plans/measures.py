@@ -15,8 +15,8 @@ CELL_VOLUME = 1.0e9
 
 
 def rounded(df, digits: int = 6):
-    """Doubles to a fixed number of digits, so that the order of a sum does not show."""
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else c for c, t in df.dtypes])
+    """Doubles to a fixed number of digits, so that the order of a sum does not show; no negative zeros."""
+    return df.select(*[(F.round(c, digits) + 0.0).alias(c) if t == "double" else c for c, t in df.dtypes])
 
 
 _TENSOR = ", ".join(f"sum(CASE WHEN len > 2.220446049250313e-16 THEN len * ({a[0]}2 - {a[0]}) / len * ({a[1]}2 - {a[1]}) / len ELSE 0 END) AS {a}" for a in metrics.AXES)
@@ -101,7 +101,7 @@ def curvature_ratio(spark, sf_dir):
     with_views(
         """, t AS (SELECT fiber_id, seq, coalesce(lead(x) OVER w, x) - coalesce(lag(x) OVER w, x) AS dx, coalesce(lead(y) OVER w, y) - coalesce(lag(y) OVER w, y) AS dy, coalesce(lead(z) OVER w, z) - coalesce(lag(z) OVER w, z) AS dz
   FROM vertices WINDOW w AS (PARTITION BY fiber_id ORDER BY seq))
-SELECT fiber_id, seq, round(dx / n, 6) AS tx, round(dy / n, 6) AS ty, round(dz / n, 6) AS tz FROM (SELECT *, nullif(sqrt(dx * dx + dy * dy + dz * dz), 0) AS n FROM t)""",
+SELECT fiber_id, seq, round(dx / n, 6) + 0.0 AS tx, round(dy / n, 6) + 0.0 AS ty, round(dz / n, 6) + 0.0 AS tz FROM (SELECT *, nullif(sqrt(dx * dx + dy * dy + dz * dz), 0) AS n FROM t)""",
         "vertices",
     )
 )

@@ -69,7 +69,7 @@ def constant_capsules(spark, sf_dir):
     with_views(
         """, t AS (SELECT s.*, radius, (x2 - x) / len AS tx, (y2 - y) / len AS ty, (z2 - z) / len AS tz FROM segs s JOIN fibers USING (fiber_id) WHERE len > 2.220446049250313e-16), q AS (SELECT *, sqrt(greatest((1 + tz) / 2, 0)) AS w FROM t)
 SELECT fiber_id, seq, round((x + x2) / 2, 6) AS cx, round((y + y2) / 2, 6) AS cy, round((z + z2) / 2, 6) AS cz, round(len, 6) AS length, radius,
-  round(CASE WHEN w < 1e-9 THEN 0 ELSE w END, 6) AS qw, round(CASE WHEN w < 1e-9 THEN 1 ELSE -ty / (2 * w) END, 6) AS qx, round(CASE WHEN w < 1e-9 THEN 0 ELSE tx / (2 * w) END, 6) AS qy, CAST(0 AS DOUBLE) AS qz FROM q""",
+  round(CASE WHEN w < 1e-9 THEN 0 ELSE w END, 6) AS qw, round(CASE WHEN w < 1e-9 THEN 1 ELSE -ty / (2 * w) END, 6) + 0.0 AS qx, round(CASE WHEN w < 1e-9 THEN 0 ELSE tx / (2 * w) END, 6) + 0.0 AS qy, CAST(0 AS DOUBLE) AS qz FROM q""",
         "segs", "fibers",
     )
 )
@@ -137,14 +137,14 @@ def generate_point_crossing(spark, sf_dir):
 
 @query(
     """WITH k AS (SELECT CAST(r_regionkey AS BIGINT) AS fiber_id, CAST(unnest(range(0, 13)) AS INTEGER) AS seq FROM region)
-SELECT fiber_id, seq, round(seq / 12.0 * 4, 6) AS x, round(0.3 * sin(2 * pi() * seq / 12.0), 6) AS y, round(0.15 * 0.5 * sin(4 * pi() * seq / 12.0), 6) AS z FROM k"""
+SELECT fiber_id, seq, round(seq / 12.0 * 4, 6) AS x, round(0.3 * sin(2 * pi() * seq / 12.0), 6) + 0.0 AS y, round(0.15 * 0.5 * sin(4 * pi() * seq / 12.0), 6) + 0.0 AS z FROM k"""
 )
 def generate_wavy_fibers(spark, sf_dir):
     """Wavy centrelines: x = c L, y = A sin 2 pi c, z = A h / 2 sin 4 pi c."""
     return rounded(generate.wavy(spark, 5, 12, 4.0, 0.3, 0.5))
 
 
-@query("SELECT CAST(f AS BIGINT) AS fiber_id, CAST(s AS INTEGER) AS seq, round((2 * s - 1) * 2.0 * cos(f * 0.7), 6) AS x, round((2 * s - 1) * 2.0 * sin(f * 0.7), 6) AS y, round(f * 0.25, 6) AS z FROM range(0, 2) a(f), range(0, 2) b(s)")
+@query("SELECT CAST(f AS BIGINT) AS fiber_id, CAST(s AS INTEGER) AS seq, round((2 * s - 1) * 2.0 * cos(f * 0.7), 6) AS x, round((2 * s - 1) * 2.0 * sin(f * 0.7), 6) + 0.0 AS y, round(f * 0.25, 6) AS z FROM range(0, 2) a(f), range(0, 2) b(s)")
 def generate_pair_crossing(spark, sf_dir):
     """Two fibers that cross at an angle, offset along z."""
     return rounded(generate.pair_crossing(spark, 4.0, 0.7, 0.25))

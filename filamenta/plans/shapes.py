@@ -65,7 +65,7 @@ _CHORDS = _RESAMPLED + """, ch AS (SELECT fiber_id, k, dx / n AS tx, dy / n AS t
 """
 
 
-@query(with_views(_CHORDS + "SELECT fiber_id, k, round(tx, 6) AS tx, round(ty, 6) AS ty, round(tz, 6) AS tz FROM ch", "arcs"))
+@query(with_views(_CHORDS + "SELECT fiber_id, k, round(tx, 6) + 0.0 AS tx, round(ty, 6) + 0.0 AS ty, round(tz, 6) + 0.0 AS tz FROM ch", "arcs"))
 def chord_tangents(spark, sf_dir):
     return rounded(shape.chords(sg.resampled(ad.vertices(spark, sf_dir), STEP)))
 
@@ -76,7 +76,7 @@ def chord_tangents(spark, sf_dir):
         + f""", p AS (SELECT fiber_id, k, tx, ty, tz, lead(tx) OVER w AS ux, lead(ty) OVER w AS uy, lead(tz) OVER w AS uz, lead(tx, 2) OVER w AS vx, lead(ty, 2) OVER w AS vy, lead(tz, 2) OVER w AS vz FROM ch WINDOW w AS (PARTITION BY fiber_id ORDER BY k)),
 c AS (SELECT *, ty * uz - tz * uy AS mx, tz * ux - tx * uz AS my, tx * uy - ty * ux AS mz, uy * vz - uz * vy AS nx, uz * vx - ux * vz AS ny, ux * vy - uy * vx AS nz FROM p WHERE ux IS NOT NULL)
 SELECT fiber_id, k, round(atan2(sqrt(mx * mx + my * my + mz * mz), tx * ux + ty * uy + tz * uz) / {STEP}, 6) AS curvature,
-  CASE WHEN sqrt(mx * mx + my * my + mz * mz) > 1e-9 AND sqrt(nx * nx + ny * ny + nz * nz) > 1e-9 THEN round(atan2(ux * (my * nz - mz * ny) + uy * (mz * nx - mx * nz) + uz * (mx * ny - my * nx), mx * nx + my * ny + mz * nz) / {STEP}, 6) END AS torsion FROM c""",
+  CASE WHEN sqrt(mx * mx + my * my + mz * mz) > 1e-9 AND sqrt(nx * nx + ny * ny + nz * nz) > 1e-9 THEN round(atan2(ux * (my * nz - mz * ny) + uy * (mz * nx - mx * nz) + uz * (mx * ny - my * nx), mx * nx + my * ny + mz * nz) / {STEP}, 6) + 0.0 END AS torsion FROM c""",
         "arcs",
     )
 )

@@ -23,7 +23,7 @@ moved AS (SELECT fiber_id, seq, least(greatest(x + dx * s, 0), 150) AS x, y + dy
 """
 
 
-@query(with_views(_INTERNAL + "SELECT fiber_id, seq, round(dx, 6) AS dx, round(dy, 6) AS dy, round(dz, 6) AS dz FROM ic", "vertices"))
+@query(with_views(_INTERNAL + "SELECT fiber_id, seq, round(dx, 6) + 0.0 AS dx, round(dy, 6) + 0.0 AS dy, round(dz, 6) + 0.0 AS dz FROM ic", "vertices"))
 def internal_corrections(spark, sf_dir):
     return rounded(solver.internal_corrections(ad.vertices(spark, sf_dir), 40.0))
 
@@ -57,7 +57,7 @@ def _pushes(spark, sf_dir):
     return c.withColumns(a | b)
 
 
-@query(with_views(_CONTACT + ", e AS (SELECT fiber_id, seq + unnest([0, 1]) AS seq, dx, dy, dz FROM sa) SELECT fiber_id, seq, round(sum(dx), 6) AS dx, round(sum(dy), 6) AS dy, round(sum(dz), 6) AS dz FROM e GROUP BY 1, 2".replace("GROUP BY 1, 2", "GROUP BY e.fiber_id, e.seq"), "segs"))
+@query(with_views(_CONTACT + ", e AS (SELECT fiber_id, seq + unnest([0, 1]) AS seq, dx, dy, dz FROM sa) SELECT fiber_id, seq, round(sum(dx), 6) + 0.0 AS dx, round(sum(dy), 6) + 0.0 AS dy, round(sum(dz), 6) + 0.0 AS dz FROM e GROUP BY 1, 2".replace("GROUP BY 1, 2", "GROUP BY e.fiber_id, e.seq"), "segs"))
 def contact_corrections(spark, sf_dir):
     return rounded(solver.contact_corrections(_pushes(spark, sf_dir), _CONTACTS_GAP))
 
