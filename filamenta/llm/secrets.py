@@ -42,10 +42,13 @@ ALPHABETS = {
 SHARES = {"hex": (6 / 16, 0, 10 / 16, 0), "base32": (26 / 32, 0, 6 / 32, 0), "base62": (26 / 62, 26 / 62, 10 / 62, 0), "base64": (26 / 64, 26 / 64, 10 / 64, 2 / 64)}
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _matches(text: Column, pattern: str, kind: int, keep=None) -> Column:
     """array<struct<start,kind,end,s>> of the pattern's leftmost non-overlapping matches that pass ``keep``."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
     empty = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,s:string>>)")
 
     def step(acc: Column, x: Column) -> Column:
@@ -54,10 +57,13 @@ def _matches(text: Column, pattern: str, kind: int, keep=None) -> Column:
         one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["s"].alias("s")))
         return F.struct(end.alias("at"), F.concat(acc["spans"], one).alias("spans"))
 
-    zipped = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda g, s: F.struct(g.alias("gap"), s.alias("s")))
-    spans = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
-    spans = F.filter(spans, keep) if keep is not None else spans
-    return F.when(text.rlike(pattern), spans).otherwise(empty)
+    def placed(found: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        zipped = F.zip_with(gaps, found, lambda g, s: F.struct(g.alias("gap"), s.alias("s")))
+        spans = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
+        return F.when(F.size(found) > 0, F.filter(spans, keep) if keep is not None else spans).otherwise(empty)
+
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
 def _bare(spans: Column) -> Column:
@@ -79,37 +85,51 @@ def _count(s: Column, drop: str) -> Column:
 
 def _upper_tail(z: Column) -> Column:
     """P(Z > z) of a standard normal, by a rational approximation that is good to 1e-7."""
-    x = F.abs(z) / F.sqrt(F.lit(2.0))
-    t = 1 / (1 + 0.3275911 * x)
-    erfc = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * F.exp(-x * x)
-    return F.when(z > 0, erfc / 2).otherwise(1 - erfc / 2)
+
+    def half(x: Column) -> Column:
+        fit = lambda t: t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) / 2
+        return _let(1 / (1 + 0.3275911 * x), fit) * F.exp(-x * x)
+
+    return _let(F.struct(z.alias("z"), _let(F.abs(z) / F.sqrt(F.lit(2.0)), half).alias("h")), lambda v: F.when(v["z"] > 0, v["h"]).otherwise(1 - v["h"]))
 
 
-def _tests(s: Column, encoding: str) -> Column:
+def _tests(s: Column, encoding: Column) -> Column:
     """The battery's p-value of a string, held against uniform draws from the encoding's alphabet."""
-    letters = ALPHABETS[encoding]
-    k, shares = len(letters), SHARES[encoding]
-    s = F.upper(s) if encoding == "hex" else F.translate(s, "-_", "+/")
-    n = F.length(s).cast("double")
-    chars = F.filter(F.split(s, ""), lambda c: c != "")
-    # chi-squared over symbols; the sum of squared counts is the sum over characters of how often each occurs
-    squares = F.aggregate(chars, F.lit(0.0), lambda a, c: a + (F.length(s) - F.length(F.replace(s, c, F.lit("")))))
-    chi = squares * k / n - n
-    p_symbols = _upper_tail((chi - (k - 1)) / F.sqrt(2.0 * (k - 1) * (n - 1) / n))
-    counts = [_count(s, "[^A-Z]"), _count(s, "[^a-z]"), _count(s, "[^0-9]"), _count(s, "[A-Za-z0-9]")]
-    used = [(c, p) for c, p in zip(counts, shares, strict=True) if p]
-    classes = sum(((c - n * p) * (c - n * p) / (n * p) for c, p in used), F.lit(0.0))
-    df = len(used) - 1
-    # Wilson-Hilferty: the cube root of chi-squared over its degrees of freedom is nearly normal
-    p_classes = _upper_tail((F.pow(classes / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5)
-    runs = F.length(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(s, "[A-Z]+", "A"), "[a-z]+", "a"), "[0-9]+", "0"), "[+/]+", "+"))
-    change = 1 - sum(p * p for p in shares)
-    p_runs = F.least(F.lit(1.0), 2 * _upper_tail(F.abs((runs - 1 - (n - 1) * change) / F.sqrt((n - 1) * (change * (1 - change))))))
-    values = F.transform(chars, lambda c: F.instr(F.lit(letters), c).cast("double"))
-    mean, var = (k + 1) / 2, (k * k - 1) / 12
-    lagged = F.zip_with(F.slice(values, 1, F.size(values) - 1), F.slice(values, 2, F.size(values)), lambda a, b: (a - mean) * (b - mean))
-    p_serial = F.least(F.lit(1.0), 2 * _upper_tail(F.abs(F.aggregate(lagged, F.lit(0.0), lambda a, x: a + x) / (var * F.sqrt(n - 1)))))
-    return F.least(F.lit(1.0), 4 * F.least(p_symbols, p_classes, p_runs, p_serial))
+    facts = {
+        name: F.struct(
+            F.lit(float(len(letters))).alias("k"),
+            F.lit(letters).alias("letters"),
+            F.array(*[F.lit(float(p)) for p in SHARES[name]]).alias("shares"),
+            F.lit(float(sum(p > 0 for p in SHARES[name]) - 1)).alias("df"),
+            F.lit(1 - sum(p * p for p in SHARES[name])).alias("change"),
+        )
+        for name, letters in ALPHABETS.items()
+    }
+    known = F.element_at(F.create_map(*[x for name, f in facts.items() for x in (F.lit(name), f)]), encoding)
+    plain = F.when(encoding == "hex", F.upper(s)).otherwise(F.translate(s, "-_", "+/"))
+    start = F.struct(plain.alias("s"), F.length(s).cast("double").alias("n"), F.filter(F.split(plain, ""), lambda c: c != "").alias("chars"), known.alias("e"))
+
+    def statistics(a: Column) -> Column:
+        s, n, chars, e = a["s"], a["n"], a["chars"], a["e"]
+        k, df, change = e["k"], e["df"], e["change"]
+        # chi-squared over symbols; the sum of squared counts is the sum over characters of how often each occurs
+        squares = F.aggregate(chars, F.lit(0.0), lambda t, c: t + (F.length(s) - F.length(F.replace(s, c, F.lit("")))))
+        symbols = (squares * k / n - n - (k - 1)) / F.sqrt(2.0 * (k - 1) * (n - 1) / n)
+        counts = F.array(_count(s, "[^A-Z]"), _count(s, "[^a-z]"), _count(s, "[^0-9]"), _count(s, "[A-Za-z0-9]"))
+        parts = F.zip_with(counts, e["shares"], lambda c, p: F.when(p > 0, (c - n * p) * (c - n * p) / F.nullif(n * p, F.lit(0.0))).otherwise(0.0))
+        classes = F.aggregate(parts, F.lit(0.0), lambda t, x: t + x)
+        # Wilson-Hilferty: the cube root of chi-squared over its degrees of freedom is nearly normal
+        classes = (F.pow(classes / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+        collapsed = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(s, "[A-Z]+", "A"), "[a-z]+", "a"), "[0-9]+", "0"), "[+/]+", "+")
+        runs = F.abs((F.length(collapsed) - 1 - (n - 1) * change) / F.sqrt((n - 1) * (change * (1 - change))))
+        values = F.transform(chars, lambda c: F.instr(e["letters"], c).cast("double") - (k + 1) / 2)
+        pairs = lambda v: F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v)), lambda x, y: x * y)
+        serial = F.abs(F.aggregate(_let(values, pairs), F.lit(0.0), lambda t, x: t + x) / ((k * k - 1) / 12 * F.sqrt(n - 1)))
+        # one-sided statistics count once, two-sided ones twice
+        return F.array(*[F.struct(z.alias("z"), F.lit(w).alias("w")) for z, w in ((symbols, 1.0), (classes, 1.0), (runs, 2.0), (serial, 2.0))])
+
+    p = F.array_min(F.transform(_let(start, statistics), lambda t: F.least(F.lit(1.0), t["w"] * _upper_tail(t["z"]))))
+    return F.least(F.lit(1.0), 4 * p)
 
 
 def _encoding(s: Column) -> Column:
@@ -127,14 +147,12 @@ def judged(df: DataFrame) -> DataFrame:
     """``loose`` becomes array<struct<start,kind,end,stratum,p>>, without runs that are plainly words or numbers."""
 
     def one(x: Column) -> Column:
-        e = _encoding(x["s"])
-        p = F.coalesce(*[F.when(e == name, _tests(x["s"], name)) for name in ALPHABETS])
         band = F.least(F.floor(F.log2((x["end"] - x["start"]) / F.lit(MIN_LENGTH)) * 2), F.lit(9))
-        stratum = F.concat_ws("-", e, band.cast("string"))
-        return F.struct(x["start"], x["kind"], x["end"], stratum.alias("stratum"), F.greatest(p, F.lit(2.0 ** -(P_BINS / 4))).alias("p"))
+        p = F.greatest(_tests(x["s"], x["e"]), F.lit(2.0 ** -(P_BINS / 4)))
+        return F.struct(x["start"], x["kind"], x["end"], F.concat_ws("-", x["e"], band.cast("string")).alias("stratum"), p.alias("p"))
 
-    keyed = F.filter("loose", lambda x: _encoding(x["s"]).isNotNull())
-    return df.withColumn("loose", F.transform(keyed, one))
+    named = F.transform("loose", lambda x: F.struct(x["start"], x["kind"], x["end"], x["s"], _encoding(x["s"]).alias("e")))
+    return df.withColumn("loose", F.transform(F.filter(named, lambda x: x["e"].isNotNull()), one))
 
 
 def rejection_levels(candidates: DataFrame) -> dict[str, float]:
