@@ -125,7 +125,8 @@ def fit(texts: list[str | None], toxic: list[int], shares: tuple[float, float])
     if min((y == 0).sum(), (y == 1).sum()) < 4:
         n = [(y == c).sum() * shares[c] for c in (0, 1)]
         return {"models": None, "curve": None, "prior": float((n[1] + 1) / (sum(n) + 2))}
-    docs = [words_of(t) for t in texts]
+    pool: dict[str, str] = {}  # equal words are one object
+    docs = [[pool.setdefault(w, w) for w in words_of(t)] for t in texts]
     fold = np.zeros(len(y), np.int64)
     for c in (0, 1):
         fold[np.flatnonzero(y == c)[1::2]] = 1
@@ -145,8 +146,8 @@ def score(model: dict, text: str | None) -> float:
     return float(1 / (1 + np.exp(-z)))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", fit_docs: int = FIT_DOCS) -> dict:
-    """Fits on at most ``fit_docs`` documents of each class; one task does so, and the bounded model comes to the driver."""
+def fitted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", fit_docs: int = FIT_DOCS) -> bytes:
+    """Fits on at most ``fit_docs`` documents of each class; one task does so, and the bounded model comes to the driver, packed."""
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(F.col(label).cast("int")).alias("y"))
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     hashed = known.withColumn("h", F.xxhash64(F.col(key).cast("string")))
@@ -164,16 +165,29 @@ def fitted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
         yield pd.DataFrame({"model": [pickle.dumps(fit(texts, frame["y"].astype(int).tolist(), shares))]})
 
     made = rows.repartition(1).mapInPandas(run, "model binary").collect()
-    return pickle.loads(made[0]["model"]) if made else fit([], [], (0.0, 0.0))
+    return bytes(made[0]["model"]) if made else pickle.dumps(fit([], [], (0.0, 0.0)))
 
 
-def scored(docs: DataFrame, model: dict, text: str = "text", name: str = "score") -> DataFrame:
+_MODELS: dict[int, dict] = {}
+
+
+def unpacked(model: bytes) -> dict:
+    """The model; each worker process keeps the one that it used last."""
+    name = hash(model)
+    if name not in _MODELS:
+        _MODELS.clear()
+        _MODELS[name] = pickle.loads(model)
+    return _MODELS[name]
+
+
+def scored(docs: DataFrame, model: bytes, text: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with a double column ``name``; it replaces a column of that name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = unpacked(shared.value)
         for t in texts:
-            yield pd.Series([score(shared.value, x if isinstance(x, str) else None) for x in t], dtype="float64")
+            yield pd.Series([score(own, x if isinstance(x, str) else None) for x in t], dtype="float64")
 
     run.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}  # as types, not as their names
     return docs.withColumn(name, F.pandas_udf(run, "double")(F.col(text)))

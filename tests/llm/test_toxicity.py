@@ -23,6 +23,7 @@ def test_held_out_accuracy_rare_forms_and_edge_cases(spark):
     got = {r.doc_id: r.score for r in toxicity.scored(docs, model).collect()}
     wrong = [i for i, _, y in rows if i % 4 == 0 and (got[i] >= 0.5) != y]
     assert len(got) == 403 and len(wrong) <= 2 and max(got[1000], got[1001], got[1002]) < 0.5
+    model = toxicity.unpacked(model)
     assert toxicity.score(model, "table " * 20 + "grobnich " + "walk " * 20) > toxicity.score(model, "table " * 20 + "walker " + "walk " * 20)
 
 
