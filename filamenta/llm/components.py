@@ -1,54 +1,5 @@
-"""Connected components by alternating large-star and small-star contractions.
+"""Connected components for the operators here: the library's own."""
 
-Every round is two joins on node keys; nothing but two numbers a round reaches the driver, and each round's edges go to
-the shared folder, so that a lost executor costs one round at most. A hub's rows meet one row of its own in the joins,
-which adaptive execution splits where the hub is hot. Loops, repeated edges and null ends are ignored.
-"""
+from filamenta.operators.graph import connected_components
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from filamenta.session import staged
-
-MAX_ROUNDS = 60
-
-
-def _both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of u is linked to u's smallest neighbour (u itself included)."""
-    near = _both_ways(edges)
-    least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return near.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """u and its smaller neighbours are linked to the smallest of them."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    links = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return links.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v")
-
-
-def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, component) for every node that has an edge to another node; component is its smallest reachable node.
-
-    An edge table without usable rows gives an empty result.
-    """
-    kind = edges.schema[a].dataType
-    now = staged(edges.select(F.col(a).alias("u"), F.col(b).cast(kind).alias("v")).where("u <> v").distinct(), "edges")
-    mark = None
-    for _ in range(MAX_ROUNDS):
-        now = staged(_small_star(_large_star(now)).distinct(), "edges")
-        found = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(found) == mark:
-            break
-        mark = tuple(found)
-    else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
-    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+__all__ = ["connected_components"]
