@@ -4,12 +4,16 @@ Fingerprint: XXH64 (seed 42) of every shingle of WIDTH words, repeats included;
 them. A text of fewer words is one shingle; a text without words (null, empty, white space) has fingerprint 0, which
 links like any other.
 
-Links at BITS or fewer differing bits. Equal fingerprints are one class first, so that copies never meet in pairs. Two
-fingerprints within BITS = 2 agree on one of three blocks of bits, so each class goes to three groups, one for each
-block's value. A group of over LIMIT classes is divided again by three blocks of its remaining bits, down to groups that
-hold at most 2 ** LEAST_BITS values; no group is cut short. Inside the groups two trie nodes descend together, bit by
-bit: the pair carries the number of bits that differ so far and is dropped when that exceeds the budget. Of the links a
-task finds it passes on a spanning forest, which keeps every connection and is never larger than its rows.
+Links at a budget of BITS or fewer differing bits. Equal fingerprints are one class first, so that copies never meet in
+pairs. Two fingerprints within b bits agree on one of b + 1 blocks of bits, so each class goes to b + 1 groups, one for
+each block's value. A group of over LIMIT classes is divided again by blocks of its remaining bits, up to MOST_WAYS ways
+of dividing and down to LEAST_BITS bits; no group is cut short. Inside the groups two trie nodes descend together, bit by
+bit: the pair carries the number of bits that differ so far and is dropped when that exceeds the budget; at most PAIRS
+node pairs are advanced at once. Of the links a task finds it passes on a spanning forest, which keeps every connection
+and is never larger than its rows.
+
+``one_of_each`` casts a wider net (NET_BITS) and drops a document only if it shares ALIKE of its shingles of ALIKE_WIDTH
+words with the one of its component that stays.
 """
 
 from __future__ import annotations
@@ -25,7 +29,9 @@ from filamenta.llm.components import connected_components
 from filamenta.session import staged
 
 WIDTH, BITS, SEED = 3, 2, 42
-LIMIT, LEAST_BITS = 512, 11
+LIMIT, LEAST_BITS, MOST_WAYS = 512, 11, 243
+PAIRS = 1 << 19
+NET_BITS, ALIKE, ALIKE_WIDTH = 6, 0.8, 5
 CHUNK = 1 << 15
 
 
@@ -67,25 +73,31 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return docs.select(key, text).mapInArrow(run, f"key {kind}, fp long").withColumnRenamed("key", key)
 
 
-def trie_pairs(group: np.ndarray, fp: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers (i, j) of all pairs inside a group whose values differ in at most ``budget`` bits.
+def trie_links(group: np.ndarray, fp: np.ndarray, budget: int, pairs: int = PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers (i, j) of all pairs inside a group whose values differ in at most ``budget`` bits, in parts.
 
-    Rows are sorted by (group, fp) and distinct in it. A trie node is a range of rows that share a prefix; all node
-    pairs at one depth are advanced together.
+    Rows are sorted by (group, fp) and distinct in it. A trie node is a range of rows that share a prefix; node pairs at
+    one depth are advanced together, and split into two lots where there are too many.
     """
     if not len(fp):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return
     first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     last = np.r_[first[1:], len(fp)]
     many = last - first > 1
-    al, ah = first[many], last[many]
-    bl, bh, err = al.copy(), ah.copy(), np.zeros(len(al), np.int8)
-    out_i, out_j = [], []
-    for bit in range(63, -1, -1):
-        if not len(al):
-            break
-        zeros = np.r_[0, np.cumsum((fp >> np.uint64(bit)) & np.uint64(1) == 0)]
-        am, bm = al + zeros[ah] - zeros[al], bl + zeros[bh] - zeros[bl]
+    zeros: dict[int, np.ndarray] = {}
+    stack = [(63, first[many], last[many], first[many], last[many], np.zeros(many.sum(), np.int8))]
+    while stack:
+        bit, al, ah, bl, bh, err = stack.pop()
+        if not len(al) or bit < 0:
+            continue
+        if len(al) > pairs:
+            half = len(al) // 2
+            stack += [(bit, *(x[part] for x in (al, ah, bl, bh, err))) for part in (slice(None, half), slice(half, None))]
+            continue
+        if bit not in zeros:
+            zeros[bit] = np.r_[0, np.cumsum((fp >> np.uint64(bit)) & np.uint64(1) == 0)]
+        z = zeros[bit]
+        am, bm = al + z[ah] - z[al], bl + z[bh] - z[bl]
         same = al == bl
         parts = [(al, am, bl, bm, err), (am, ah, bm, bh, err), (al, am, bm, bh, err + 1), (am, ah, bl, bm, np.where(same, np.int8(budget + 1), err + 1))]
         al, ah, bl, bh, err = (np.concatenate([p[k] for p in parts]) for k in range(5))
@@ -94,16 +106,20 @@ def trie_pairs(group: np.ndarray, fp: np.ndarray, budget: int) -> tuple[np.ndarr
         if leaf.any():  # two single rows: what is left of their bits is compared at once
             i, j = al[leaf], bl[leaf]
             near = np.bitwise_count(fp[i] ^ fp[j]) <= budget
-            out_i.append(i[near])
-            out_j.append(j[near])
+            yield i[near], j[near]
             keep &= ~leaf
-        al, ah, bl, bh, err = al[keep], ah[keep], bl[keep], bh[keep], err[keep]
-    return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        stack.append((bit - 1, al[keep], ah[keep], bl[keep], bh[keep], err[keep]))
+
 
+def trie_pairs(group: np.ndarray, fp: np.ndarray, budget: int, pairs: int = PAIRS) -> tuple[np.ndarray, np.ndarray]:
+    """All of ``trie_links`` at once."""
+    found = [(np.zeros(0, np.int64),) * 2, *trie_links(group, fp, budget, pairs)]
+    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest row number that each of n rows reaches over the links."""
-    root = np.arange(n)
+
+def forest(n: int, i: np.ndarray, j: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:
+    """The smallest row number that each of n rows reaches over the links, and those that made ``root``."""
+    root = np.arange(n) if root is None else root
     while len(i):
         a, b = root[i], root[j]
         apart = a != b
@@ -121,8 +137,9 @@ def _links(budget: int):
         fp = fp.view(np.uint64)
         order = np.lexsort((fp, key))
         key, fp, doc = key[order], fp[order], doc[order]
-        i, j = trie_pairs(key, fp, budget)
-        root = forest(len(fp), i, j)
+        root = np.arange(len(fp))
+        for i, j in trie_links(key, fp, budget):
+            root = forest(len(fp), i, j, root)
         own = np.flatnonzero(root != np.arange(len(fp)))
         return pa.RecordBatch.from_arrays([pa.array(doc[own]), pa.array(doc[root[own]])], ["a", "b"])
 
@@ -148,14 +165,13 @@ def _bits(low: int, n: int) -> Column:
     return F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << n) - 1))
 
 
-def _divide(rows: DataFrame, depth: int) -> DataFrame:
-    """Each row goes to three groups, by the value of each of three blocks of the bits that ``way`` leaves free."""
+def _divide(rows: DataFrame, depth: int, blocks: int) -> DataFrame:
+    """Each row goes to a group for each of the blocks of the bits that ``way`` leaves free, by the block's value."""
     parts = []
-    for name in _ways(depth):
-        bits = _free_after(name)
-        k = len(bits) // 3
-        for number, block in enumerate((bits[:k], bits[k : 2 * k], bits[2 * k :])):
-            value = _gather(block)
+    for name in _ways(depth, blocks):
+        bits = _free_after(name, blocks)
+        for number in range(blocks):
+            value = _gather(bits[slice(*_cut(len(bits), number, blocks))])
             parts.append(F.when(F.col("way") == name, F.struct(F.lit(f"{name}{number}").alias("way"), F.xxhash64("key", F.lit(number), value).alias("key"))))
     return rows.withColumn("to", F.explode(F.array_compact(F.array(*parts)))).select("to.way", "to.key", "fp", "doc")
 
@@ -171,31 +187,35 @@ def _gather(bits: list[int]) -> Column:
     return F.array(*[_bits(r[0], len(r)) for r in runs])
 
 
-def _free_after(way: str) -> list[int]:
+def _cut(bits: int, number: int, blocks: int) -> tuple[int, int]:
+    return bits * number // blocks, bits * (number + 1) // blocks
+
+
+def _free_after(way: str, blocks: int) -> list[int]:
     """The bits that the blocks chosen along ``way`` leave free."""
     bits = list(range(64))
     for c in way:
-        k = len(bits) // 3
-        cut = {"0": (0, k), "1": (k, 2 * k), "2": (2 * k, len(bits))}[c]
-        bits = bits[: cut[0]] + bits[cut[1] :]
+        a, b = _cut(len(bits), int(c), blocks)
+        bits = bits[:a] + bits[b:]
     return bits
 
 
-def _ways(depth: int) -> list[str]:
-    return [""] if depth == 0 else [w + c for w in _ways(depth - 1) for c in "012"]
+def _ways(depth: int, blocks: int) -> list[str]:
+    return [""] if depth == 0 else [w + str(c) for w in _ways(depth - 1, blocks) for c in range(blocks)]
 
 
 def near_links(classes: DataFrame, budget: int = BITS) -> DataFrame:
-    """Links (a, b) between the ``doc`` of classes (doc, fp); distinct fp, budget of at most 2 bits."""
-    if not 0 <= budget <= 2:
-        raise ValueError("three blocks carry a budget of at most 2 bits")
+    """Links (a, b) between the ``doc`` of classes (doc, fp); distinct fp, budget of at most 9 bits."""
+    if not 0 <= budget <= 9:
+        raise ValueError("a budget is 0 to 9 bits")
+    blocks = budget + 1
     rows = classes.select(F.lit("").alias("way"), F.lit(0).cast("long").alias("key"), "fp", "doc")
     parts: list[DataFrame] = []
     depth = 0
     while True:
-        rows = _divide(rows, depth)
+        rows = _divide(rows, depth, blocks)
         depth += 1
-        if len(_free_after("2" * depth)) <= LEAST_BITS:
+        if blocks ** (depth + 1) > MOST_WAYS or len(_free_after("0" * depth, blocks)) <= LEAST_BITS:
             parts.append(rows)
             break
         rows = staged(rows, "simhash-groups")
@@ -226,7 +246,36 @@ def near_duplicate_components(docs: DataFrame, key: str = "doc_id", text: str =
     return out.select(key, "fp", F.when(F.col(key).isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", budget: int = BITS) -> DataFrame:
-    """``docs`` without the near-copies: of each component the document of the smallest key stays, with its own columns."""
-    kept = near_duplicate_components(docs, key, text, budget).where(F.col(key) == F.col("component_id")).select(key).distinct()
-    return docs.join(kept, key, "left_semi").select(*docs.columns)
+def _alike(least: float, width: int):
+    def shingles(text: str | None) -> set:
+        w = words_of(text)
+        return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for own, other in zip(batch.column(1), batch.column(2), strict=True):
+                a, b = own.as_py(), other.as_py()
+                x, y = (shingles(a), shingles(b)) if a != b else ((), ())
+                keep.append(a == b or len(x & y) >= least * len(x | y))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep))], ["key"])
+
+    return run
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", budget: int = NET_BITS, least: float = ALIKE, width: int = ALIKE_WIDTH) -> DataFrame:
+    """``docs`` without near-copies, with their own columns.
+
+    Of each component the document of the smallest key stays. Another one goes if the Jaccard similarity of its shingles
+    of ``width`` words with that document's is ``least`` or more; those less alike stay. Null and empty texts have one and
+    the same shingle. Of rows with the same key all stay or go. Rows with a null key stay.
+    """
+    found = near_duplicate_components(docs, key, text, budget).select(F.col(key).alias("key"), "component_id")
+    near = staged(found.where(F.col("key") != F.col("component_id")).distinct(), "simhash-near")
+    texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("own"))
+    wanted = near.select("key").unionByName(near.select(F.col("component_id").alias("key"))).distinct()
+    texts = staged(texts.join(wanted, "key", "left_semi").dropDuplicates(["key"]), "simhash-texts")
+    pairs = near.join(texts, "key").join(texts.select(F.col("key").alias("component_id"), F.col("own").alias("other")), "component_id")
+    kind = docs.schema[key].dataType.simpleString()
+    copies = staged(pairs.select("key", "own", "other").mapInArrow(_alike(least, width), f"key {kind}"), "simhash-copies")
+    return docs.join(copies.select(F.col("key").alias(key)), key, "left_anti").select(*docs.columns)

@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -48,27 +49,28 @@ def test_trie_finds_every_pair():
     for _ in range(4):
         fp.append(base ^ (np.uint64(1) << rng.integers(0, 64, 40).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 40).astype(np.uint64)))
     fp = np.unique(np.concatenate(fp))
-    for budget in (0, 1, 2):
-        i, j = simhash.trie_pairs(np.zeros(len(fp), np.int64), fp, budget)
+    for budget, lot in ((0, 1 << 19), (1, 7), (2, 50), (6, 40)):
+        i, j = simhash.trie_pairs(np.zeros(len(fp), np.int64), fp, budget, lot)
         want = {(a, b) for a, b in combinations(range(len(fp)), 2) if bin(int(fp[a] ^ fp[b])).count("1") <= budget}
         got = list(zip(*(x.tolist() for x in (np.minimum(i, j), np.maximum(i, j))), strict=True))
         assert len(got) == len(set(got)) and set(got) == want
 
 
-def test_components_of_near_documents(spark, monkeypatch):
+@pytest.mark.parametrize("budget", [2, 6])
+def test_components_of_near_documents(spark, monkeypatch, budget):
     monkeypatch.setattr(simhash, "LIMIT", 5)  # forces every depth of division
     rng = random.Random(1)
     rows, fps = [], {}
     bases = [rng.getrandbits(64) for _ in range(6)] + [0]
     for n in range(260):
         x = rng.choice(bases)
-        for _ in range(rng.randint(0, 3)):
+        for _ in range(rng.randint(0, budget + 1)):
             x ^= 1 << rng.randrange(64)
         fps[n] = x
         rows.append((n, x - 2**64 if x >= 2**63 else x))
     classes = spark.createDataFrame(rows, "doc long, fp long").groupBy("fp").agg(F.min("doc").alias("doc"))
-    found = {r.node: r.component for r in connected_components(simhash.near_links(classes), "a", "b").collect()}
-    want = brute_components([(a, b) for a, b in combinations(fps, 2) if bin(fps[a] ^ fps[b]).count("1") <= 2], fps)
+    found = {r.node: r.component for r in connected_components(simhash.near_links(classes, budget), "a", "b").collect()}
+    want = brute_components([(a, b) for a, b in combinations(fps, 2) if bin(fps[a] ^ fps[b]).count("1") <= budget], fps)
     first = {}
     for n, x in fps.items():
         first.setdefault(x, n)
@@ -86,6 +88,23 @@ def test_edge_cases(spark):
     assert simhash.near_duplicate_components(docs.limit(0)).count() == 0
 
 
+def test_near_copies_go_and_documents_that_share_a_passage_stay(spark):
+    rng = random.Random(11)
+    text = lambda n: [f"t{rng.randrange(5000)}" for _ in range(n)]
+    rows, copies = [], set()
+    for i in range(40):
+        w = text(300)
+        near = list(w)
+        near[rng.randrange(300)] = "changed"
+        rows += [(i, " ".join(w)), (1000 + i, " ".join(near))]
+        copies.add(1000 + i)
+    passage = text(120)
+    rows += [(2000 + i, " ".join(text(120) + passage)) for i in range(20)]
+    docs = spark.createDataFrame([*rows, (None, "x"), (3000, None)], "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.one_of_each(docs).collect()}
+    assert {i for i, _ in rows} - kept <= copies and len(kept & copies) <= 4 and {None, 3000} <= kept
+
+
 def test_chain_and_hub_components(spark):
     chain = [(i, i + 1) for i in range(50, 90)]
     hub = [(200, i) for i in range(201, 260)]
