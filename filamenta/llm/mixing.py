@@ -6,8 +6,9 @@ so that the largest is 1, is the probability with which its documents stay. The
 be repeated, and no cell is dealt to one task: sums are aggregated before they move, and only the table of cells, whose
 size is the product of the numbers of sources, languages and topics, is collected and mapped back.
 
-The default targets move every marginal from its observed shares towards equal ones by the power TEMPERATURE, which keeps about six in ten documents where one source holds a third. A value
-that a given target does not name gets weight 0; a target's value without documents is left out and the rest rescaled.
+The default targets move every marginal from its observed shares towards equal ones by the power TEMPERATURE, which
+keeps about six in ten documents where one source holds a third. A value that a given target does not name gets weight
+0; a target's value without documents is left out and the rest rescaled.
 Nulls in source, language or topic are a value of their own. Null or empty texts weigh one token. Repeated rows weigh as
 often as they occur and are drawn alike.
 """
