@@ -2,23 +2,38 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Local folders of this process that go when it ends: only those made where the cluster names no shared folder.
+_OWN: list[str] = []
+
+
+@atexit.register
+def _clear() -> None:
+    for path in _OWN:
+        shutil.rmtree(path, ignore_errors=True)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables under ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; the warehouse where that is unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_stage"
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends there and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """Write ``df`` to the shared folder and read it back: the lineage ends there and survives lost executors.
+
+    The folder is the one that the cluster names in ``spark.checkpoint.dir``, where tables stay until the cluster clears
+    it; the warehouse where that is unset, as in tests.
+    """
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    path = f"{(shared or spark.conf.get('spark.sql.warehouse.dir') + '/_stage').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not shared and urlparse(path).scheme in ("", "file"):
+        _OWN.append(urlparse(path).path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
