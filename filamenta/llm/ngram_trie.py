@@ -236,9 +236,12 @@ class _Batch:
         train = sum(not d[0] for d in self.docs)
         coded = [number[d[2]] for d in self.docs]
         size = len(hashes)
+        n_docs = len(coded)
         pair = np.concatenate([c[1:] * size + c[:-1] for c in coded])
-        doc = np.repeat(np.arange(len(coded)), [len(c) - 1 for c in coded])
-        pair, doc, n = _unique_counts(pair, doc, len(coded))
+        doc = np.repeat(np.arange(n_docs), [len(c) - 1 for c in coded])
+        del coded
+        self.docs = [(held, row, len(c)) for held, row, c in self.docs]
+        pair, doc, n = _unique_counts(pair, doc, n_docs)
         word, context = pair // size, pair % size
         edges = np.searchsorted(shard, np.arange(shards + 1))
         cuts = np.searchsorted(word, edges)
@@ -250,7 +253,7 @@ class _Batch:
             five = (hashes[used] & CONTEXT_MASK).view(np.uint8).reshape(-1, 8)[:, :5].copy()
             words = hashes[edges[s] : edges[s + 1]]
             steps = np.diff(word[a:b] - edges[s], prepend=0)
-            yield s, _pack(train, len(coded), words, five, _small(steps), _small(place), _small(doc[a:b]), _small(n[a:b]))
+            yield s, _pack(train, n_docs, words, five, _small(steps), _small(place), _small(doc[a:b]), _small(n[a:b]))
 
 
 def _counted(shards: int):
@@ -264,7 +267,7 @@ def _counted(shards: int):
             name = (part << 32) + made
             rows = list(batch.blocks(shards))
             order = [d[1] for d in batch.docs]  # as blocks() has sorted them
-            info = _pack([keys[r] for r in order], [bool(d[0]) for d in batch.docs], np.array([len(d[2]) - 1 for d in batch.docs]))
+            info = _pack([keys[r] for r in order], [bool(d[0]) for d in batch.docs], np.array([d[2] - 1 for d in batch.docs]))
             out = pa.RecordBatch.from_pydict(
                 {
                     "batch": pa.array([name] * (len(rows) + 1), pa.int64()),
@@ -292,38 +295,59 @@ COUNTED = "batch long, shard int, info boolean, block binary"
 RESULT = "batch long, info boolean, block binary"
 
 
-def _shard_trie(blocks: list[tuple], total: int, unknown: float, strength: float) -> tuple[Trie, list[tuple]]:
-    """The shard's trie from the training documents of all blocks, and the blocks' triples with hashes."""
-    triples = []
-    for train, docs, words, five, steps, place, doc, n in blocks:
-        context = np.zeros((len(five), 8), np.uint8)
-        context[:, :5] = five
-        context = context.view(np.uint64).reshape(-1)
-        word = np.cumsum(steps.astype(np.int64))
-        triples.append((train, docs, words, word, context[place], doc.astype(np.int64), n.astype(np.int64)))
-    taught = [(t[2][t[3]][t[5] < t[0]], t[4][t[5] < t[0]], t[6][t[5] < t[0]]) for t in triples]
-    word, context, n = (np.concatenate([t[k] for t in taught]) if taught else np.zeros(0, np.uint64) for k in range(3))
-    order = np.lexsort((context, word))
-    word, context, n = word[order], context[order], n[order].astype(np.int64)
-    fresh = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (context[1:] != context[:-1])]) if len(word) else np.zeros(0, np.int64)
+def _shard_trie(packed: list[bytes], total: int, unknown: float, strength: float) -> tuple[Trie, list[tuple], np.ndarray, np.ndarray]:
+    """The shard's trie from the training documents of all blocks; the blocks' triples, and the words and contexts they number.
+
+    A triple keeps one 64-bit key, word number x contexts + context number, so that a shard's memory is about 20 bytes a
+    triple.
+    """
+    words, contexts = [], []
+    for blob in packed:
+        own, five = _unpack(blob)[2:4]
+        words.append(own)
+        contexts.append(_wide(five))
+    words = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
+    contexts = np.unique(np.concatenate(contexts)) if contexts else np.zeros(0, np.uint64)
+    size = np.int64(max(1, len(contexts)))
+    triples, keys, counts = [], [], []
+    for blob in packed:
+        train, docs, own, five, steps, place, doc, n = _unpack(blob)
+        key = np.searchsorted(words, own)[np.cumsum(steps, dtype=np.int64)] * size + np.searchsorted(contexts, _wide(five))[place]
+        triples.append((docs, key, doc, n))
+        keys.append(key[doc < train])
+        counts.append(n[doc < train])
+    key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+    n = np.concatenate(counts).astype(np.int64) if counts else np.zeros(0, np.int64)
+    del keys, counts
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    fresh = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
     n = np.add.reduceat(n, fresh) if len(fresh) else n
-    word, context = word[fresh], context[fresh]
-    words, node = np.unique(word, return_inverse=True)
-    counts = np.bincount(node, n, len(words)).astype(np.int64)
-    value = np.log10(n + strength * (1 - unknown) * counts[node] / max(total, 1)) if len(n) else np.zeros(0)
-    return Trie.build(words, counts, node, context, value), triples
-
-
-def _score_blocks(trie: Trie, triples: list[tuple], total: int, unknown: float, strength: float) -> Iterator[bytes]:
-    for _, docs, words, word, context, doc, n in triples:
-        node, counts = trie.find_words(words)
-        lone = np.log10(strength * np.where(counts > 0, (1 - unknown) * counts / max(total, 1), unknown))
-        before = np.log10(counts + strength)
-        pair = trie.find(node[word], context)
-        score = np.where(np.isnan(pair), lone[word], pair) - before[word]
+    key = key[fresh]
+    used, node = np.unique(key // size, return_inverse=True)
+    sums = np.bincount(node, n, len(used)).astype(np.int64)
+    value = np.log10(n + strength * (1 - unknown) * sums[node] / max(total, 1)) if len(n) else np.zeros(0)
+    return Trie.build(words[used], sums, node, contexts[key % size], value), triples, words, contexts
+
+
+def _wide(five: np.ndarray) -> np.ndarray:
+    """Numbers of five bytes as 64-bit ones."""
+    out = np.zeros((len(five), 8), np.uint8)
+    out[:, :5] = five
+    return out.view(np.uint64).reshape(-1)
+
+
+def _score_blocks(trie: Trie, triples: list[tuple], words: np.ndarray, contexts: np.ndarray, total: int, unknown: float, strength: float) -> Iterator[bytes]:
+    node, counts = trie.find_words(words)
+    lone = np.log10(strength * np.where(counts > 0, (1 - unknown) * counts / max(total, 1), unknown))
+    before, base = np.log10(counts + strength), np.log10(counts + 1.0)
+    size = np.int64(max(1, len(contexts)))
+    for docs, key, doc, n in triples:
+        word = key // size
         # a pair of an unknown context never is in the trie, as the context was not seen in training
-        base = np.log10(counts + 1.0)[word]
-        sums = [np.bincount(doc, n * x, docs) for x in (score, base)]
+        pair = trie.find(node[word], contexts[key % size])
+        score = np.where(np.isnan(pair), lone[word], pair) - before[word]
+        sums = [np.bincount(doc, n * x, docs) for x in (score, base[word])]
         yield _pack(np.bincount(doc, n * (counts[word] > 0), docs).astype(np.int64), *sums)
 
 
@@ -331,7 +355,7 @@ def _solve(total: int, unknown: float, strength: float, tries: bool):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         info = group[group["info"]]
         rest = group[~group["info"]].sort_values("batch", kind="stable")
-        trie, triples = _shard_trie([_unpack(b) for b in rest["block"]], total, unknown, strength)
+        trie, triples, words, contexts = _shard_trie(rest["block"].tolist(), total, unknown, strength)
         folder = tempfile.mkdtemp()
         path = os.path.join(folder, "trie")
         try:
@@ -339,7 +363,7 @@ def _solve(total: int, unknown: float, strength: float, tries: bool):
             if tries:
                 with open(path, "rb") as f:
                     return pd.DataFrame({"shard": [int(group["shard"].iloc[0])], "trie": [f.read()]})
-            scores = list(_score_blocks(Trie.open(path), triples, total, unknown, strength))
+            scores = list(_score_blocks(Trie.open(path), triples, words, contexts, total, unknown, strength))
         finally:
             if os.path.exists(path):
                 os.remove(path)
@@ -384,7 +408,7 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not held.as_py():
                 counts.update(words)
                 counts[END] += 1
-        if len(counts) > BATCH_TOKENS // 4:
+        if len(counts) > BATCH_TOKENS // 8:
             yield flush()
     if tokens:
         yield flush()
