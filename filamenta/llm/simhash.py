@@ -12,13 +12,14 @@ bit: the pair carries the number of bits that differ so far and is dropped when
 node pairs are advanced at once. Of the links a task finds it passes on a spanning forest, which keeps every connection
 and is never larger than its rows.
 
-``one_of_each`` casts a wider net (NET_BITS) and drops a document only if it shares ALIKE of its shingles of ALIKE_WIDTH
-words with the one of its component that stays.
+``one_of_each`` casts a wider net (NET_BITS), compares the texts that it joins exactly by their shingles of ALIKE_WIDTH
+words, and keeps one document of every component of the links of ALIKE or more.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ LIMIT, LEAST_BITS, MOST_WAYS = 512, 11, 243
 PAIRS = 1 << 19
 NET_BITS, ALIKE, ALIKE_WIDTH = 6, 0.8, 5
 CHUNK = 1 << 15
+#: Characters of a part of a component of candidates, with ROW for each text; texts compared one by one before all at once.
+LOT, ROW, FEW = 8_000_000, 2000, 8
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -246,36 +249,143 @@ def near_duplicate_components(docs: DataFrame, key: str = "doc_id", text: str =
     return out.select(key, "fp", F.when(F.col(key).isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def _alike(least: float, width: int):
-    def shingles(text: str | None) -> set:
-        w = words_of(text)
-        return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))}
+def shingle_hashes(words: list[bytes], width: int = ALIKE_WIDTH) -> np.ndarray:
+    """XXH64 of the distinct shingles of ``width`` words; fewer words, or none, are one shingle."""
+    from xxhash import xxh64_intdigest as h
+
+    n = max(1, len(words) - width + 1)
+    return np.unique(np.fromiter((h(b" ".join(words[i : i + width]), SEED) for i in range(n)), np.uint64, n))
+
+
+def alike_pairs(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Pairs of sets with a Jaccard similarity of ``least`` or more, enough of them to connect all that such pairs connect.
+
+    Two sets that alike share one of their rarest 1 - least parts, so only sets that meet there are compared, and only while
+    they are not connected yet.
+    """
+    sizes = np.array([len(x) for x in sets])
+    order = np.argsort(sizes, kind="stable")
+    _, token, count = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    sizes = sizes[order]
+    cuts = np.r_[0, np.cumsum(sizes)]
+    rows = [np.sort(rank[token[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    heads = [r[: len(r) - int(np.ceil(least * len(r) - 1e-9)) + 1] for r in rows]
+
+    def index(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        names, owners = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+        return np.r_[0, np.cumsum(np.bincount(names, minlength=len(count)))], owners[np.argsort(names, kind="stable")]
+
+    def owners_of(tokens: np.ndarray, at: np.ndarray, owners: np.ndarray) -> np.ndarray:
+        return np.concatenate([owners[at[t] : at[t + 1]] for t in tokens.tolist()])
+
+    by_head, by_any, root, found = index(heads), None, np.arange(len(rows)), []
+
+    def link(x: int, y: int) -> None:
+        a, b = root[x], root[y]
+        root[root == max(a, b)] = min(a, b)
+        found.append((int(order[x]), int(order[y])))
+
+    for x in range(1, len(rows)):
+        met = owners_of(heads[x], *by_head)
+        met = np.unique(met[met < x])
+        met = met[sizes[met] >= least * sizes[x] - 1e-9]
+        tries = 0
+        while len(met := met[root[met] != root[x]]):
+            if tries < FEW or len(met) <= FEW:
+                y, met, tries = int(met[0]), met[1:], tries + 1
+                both = len(np.intersect1d(rows[x], rows[y], assume_unique=True))
+                if both >= least * (sizes[x] + sizes[y] - both):
+                    link(x, y)
+                continue
+            by_any = by_any or index(rows)
+            shared = np.bincount(owners_of(rows[x], *by_any), minlength=len(rows))[met]
+            for y in met[shared >= least * (sizes[x] + sizes[met] - shared)].tolist():
+                if root[x] != root[y]:
+                    link(x, y)
+            break
+    return found
+
+
+def _verified(least: float, width: int):
+    def solve(keys: list, texts: list) -> list[tuple]:
+        found, first = [], {}
+        for k, t in zip(keys, texts, strict=True):
+            own = first.setdefault(b" ".join(words_of(t)), k)
+            if own != k:
+                found.append((k, own))
+        names = list(first.values())
+        pairs = alike_pairs([shingle_hashes(t.split(b" ") if t else [], width) for t in first], least) if len(names) > 1 else []
+        return found + [(names[i], names[j]) for i, j in pairs if names[i] != names[j]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (group, key, text) come sorted by group."""
+        group, keys, texts, kind = None, [], [], None
+
+        def out(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k in (0, 1)], ["a", "b"])
+
         for batch in batches:
-            keep = []
-            for own, other in zip(batch.column(1), batch.column(2), strict=True):
-                a, b = own.as_py(), other.as_py()
-                x, y = (shingles(a), shingles(b)) if a != b else ((), ())
-                keep.append(a == b or len(x & y) >= least * len(x | y))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep))], ["key"])
+            found, kind = [], batch.schema.field(1).type
+            for g, k, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if g != group:
+                    found += solve(keys, texts)
+                    group, keys, texts = g, [], []
+                keys.append(k)
+                texts.append(t)
+            yield out(found)
+        if keys:
+            yield out(solve(keys, texts))
 
     return run
 
 
+def _sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc, same, chars, fp): one row per document with a key; ``same`` is one for texts of the same words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [words_of(t.as_py()) for t in batch.column(1)]
+            joined = [b" ".join(w) for w in words]
+            fps = pa.array(np.array([fingerprint(w) for w in words], np.uint64).view(np.int64))
+            same = pa.array([blake2b(j, digest_size=16).digest() for j in joined], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), same, pa.array(list(map(len, joined)), pa.int64()), fps], ["doc", "same", "chars", "fp"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.where(F.col(key).isNotNull()).select(key, text).mapInArrow(run, f"doc {kind}, same binary, chars long, fp long")
+
+
+def _candidates(classes: DataFrame, budget: int) -> DataFrame:
+    """(a, b): links of classes (doc, fp) by fingerprints."""
+    equal = staged(classes.groupBy("fp").agg(F.min("doc").alias("first")), "simhash-classes")
+    links = near_links(equal.select("fp", F.col("first").alias("doc")), budget)
+    return links.unionByName(classes.join(equal, "fp").where("doc <> first").select(F.col("doc").alias("a"), F.col("first").alias("b")))
+
+
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", budget: int = NET_BITS, least: float = ALIKE, width: int = ALIKE_WIDTH) -> DataFrame:
     """``docs`` without near-copies, with their own columns.
 
-    Of each component the document of the smallest key stays. Another one goes if the Jaccard similarity of its shingles
-    of ``width`` words with that document's is ``least`` or more; those less alike stay. Null and empty texts have one and
-    the same shingle. Of rows with the same key all stay or go. Rows with a null key stay.
+    Two documents are linked if the Jaccard similarity of their shingles of ``width`` words is ``least`` or more; of every
+    connected component of such links the document of the smallest key stays. Texts of the same words are one text first;
+    the others are compared if a candidate link or a chain of them joins them, all with all. Null and empty texts have one
+    and the same shingle. Of rows with the same key all stay or go. Rows with a null key stay.
+
+    A component of candidates whose texts exceed LOT is divided into parts, and every two parts meet in a task of their own.
     """
-    found = near_duplicate_components(docs, key, text, budget).select(F.col(key).alias("key"), "component_id")
-    near = staged(found.where(F.col("key") != F.col("component_id")).distinct(), "simhash-near")
-    texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("own"))
-    wanted = near.select("key").unionByName(near.select(F.col("component_id").alias("key"))).distinct()
-    texts = staged(texts.join(wanted, "key", "left_semi").dropDuplicates(["key"]), "simhash-texts")
-    pairs = near.join(texts, "key").join(texts.select(F.col("key").alias("component_id"), F.col("own").alias("other")), "component_id")
+    sketches = staged(_sketches(docs, key, text), "simhash-sketches")
+    classes = staged(sketches.groupBy("same").agg(F.min("doc").alias("doc"), *(F.first(c).alias(c) for c in sketches.columns if c not in ("doc", "same"))), "simhash-texts")
+    copies = sketches.select("doc", "same").join(classes.select("same", F.col("doc").alias("first")), "same").where("doc <> first")
+    copies = copies.select(F.col("doc").alias("a"), F.col("first").alias("b")).distinct()
+    found = connected_components(_candidates(classes, budget), "a", "b")
+    members = staged(classes.groupBy("doc").agg(F.sum(F.col("chars") + ROW).alias("size")).join(found, F.col("doc") == F.col("node")), "simhash-members")
+    lots = members.groupBy("component").agg(F.ceil(F.sum("size") / LOT).cast("int").alias("lots"))
+    own, other = F.pmod(F.xxhash64("doc"), F.col("lots")).cast("int"), F.col("other")
+    groups = members.join(lots, "component").withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, lots - 1)"))).where("lots = 1 or own <> other")
+    groups = groups.select(F.col("doc").alias("key"), F.xxhash64("component", F.least("own", other), F.greatest("own", other)).alias("group"))
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(groups, "key").select("group", "key", "text")
     kind = docs.schema[key].dataType.simpleString()
-    copies = staged(pairs.select("key", "own", "other").mapInArrow(_alike(least, width), f"key {kind}"), "simhash-copies")
-    return docs.join(copies.select(F.col("key").alias(key)), key, "left_anti").select(*docs.columns)
+    alike = texts.repartition("group").sortWithinPartitions("group").mapInArrow(_verified(least, width), f"a {kind}, b {kind}")
+    links = staged(alike.unionByName(copies).distinct(), "simhash-alike")
+    gone = staged(connected_components(links, "a", "b").where("node <> component").select(F.col("node").alias(key)), "simhash-copies")
+    return docs.join(gone, key, "left_anti").select(*docs.columns)

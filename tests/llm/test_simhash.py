@@ -111,3 +111,40 @@ def test_chain_and_hub_components(spark):
     edges = spark.createDataFrame([*chain, *hub, (7, 7), (None, 3), (1, 2), (2, 1)], "a long, b long")
     got = {r.node: r.component for r in connected_components(edges, "a", "b").collect()}
     assert got == brute_components([*chain, *hub, (1, 2)], [*range(50, 91), *range(200, 260), 1, 2])
+
+
+def jaccard(a, b, width=5):
+    x, y = ({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def test_alike_pairs_connect_what_brute_force_connects():
+    rng = random.Random(5)
+    for n in (2, 30, 120):
+        base = [rng.getrandbits(60) for _ in range(60)]
+        sets = [np.unique(np.array([x if rng.random() > rng.choice((0.02, 0.15, 0.3)) else rng.getrandbits(60) for x in base], np.uint64)) for _ in range(n)]
+        alike = [(i, j) for i, j in combinations(range(n), 2) if len(s := np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) and len(s)]
+        assert brute_components(simhash.alike_pairs(sets, 0.8), range(n)) == brute_components(alike, range(n))
+
+
+@pytest.mark.parametrize("lot", [8_000_000, 9000])
+def test_one_of_each_component_of_verified_links_stays(spark, monkeypatch, lot):
+    monkeypatch.setattr(simhash, "LOT", lot)  # the small one divides the group into several parts
+    rng = random.Random(2)
+    base = [f"t{rng.randrange(9000)}" for _ in range(400)]
+
+    def edited(*at):
+        w = list(base)
+        for k in at:
+            w[k] = f"edit{k}"
+        return " ".join(w)
+
+    start, steps = edited(*range(3, 63, 9)), [edited(*range(3, 63, 9), *range(130, 130 + 6 * n, 6)) for n in (6, 12, 18)]
+    siblings = [edited(*range(3 + k, 123 + k, 18)) for k in range(1, 5)]
+    rows = [(1, start), *enumerate(steps, 2), *enumerate(steps[-1:] * 2, 10), *enumerate(siblings, 20), (30, " ".join(base)), (31, "quite other words stand in this one"), (None, start)]
+    texts = dict(rows)
+    alike = [(a, b) for a, b in combinations([k for k in texts if k], 2) if jaccard(texts[a], texts[b]) >= 0.8]
+    assert jaccard(start, steps[-1]) < 0.8 and any(jaccard(start, s) < 0.8 for s in siblings)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r.doc_id or 0 for r in simhash.one_of_each(docs, budget=9).collect())
+    assert kept == sorted({0, *brute_components(alike, [k for k in texts if k]).values()}) == [0, 1, 31]
