@@ -12,8 +12,9 @@ bit: the pair carries the number of bits that differ so far and is dropped when
 node pairs are advanced at once. Of the links a task finds it passes on a spanning forest, which keeps every connection
 and is never larger than its rows.
 
-``one_of_each`` casts a wider net (NET_BITS), compares the texts that it joins exactly by their shingles of ALIKE_WIDTH
-words, and keeps one document of every component of the links of ALIKE or more.
+``one_of_each`` casts a wider net: fingerprints within NET_BITS, and texts that agree on a band of minima of the hashes of
+their shingles of ALIKE_WIDTH words, which is what finds nearly all pairs of similarity ALIKE. It compares the texts that
+these join exactly, and keeps one document of every component of the links of ALIKE or more.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filamenta.llm.components import connected_components
@@ -36,6 +37,8 @@ NET_BITS, ALIKE, ALIKE_WIDTH = 6, 0.8, 5
 CHUNK = 1 << 15
 #: Characters of a part of a component of candidates, with ROW for each text; texts compared one by one before all at once.
 LOT, ROW, FEW = 8_000_000, 2000, 8
+#: Minima of shingle hashes: two texts of similarity j agree on a band with chance j ** BAND, on one of BANDS with 0.997 at 0.8.
+BANDS, BAND = 32, 8
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -257,6 +260,15 @@ def shingle_hashes(words: list[bytes], width: int = ALIKE_WIDTH) -> np.ndarray:
     return np.unique(np.fromiter((h(b" ".join(words[i : i + width]), SEED) for i in range(n)), np.uint64, n))
 
 
+def bands_of(hashes: np.ndarray) -> np.ndarray:
+    """BANDS values of a set of hashes, each made of BAND minima over multiplied hashes."""
+    odd = np.random.default_rng(SEED).integers(0, 2**63, (2, BANDS * BAND), np.uint64) * np.uint64(2) + np.uint64(1)
+    low = np.full(BANDS * BAND, 2**64 - 1, np.uint64)
+    for i in range(0, len(hashes), 512):
+        low = np.minimum(low, (hashes[i : i + 512, None] * odd[0]).min(axis=0))
+    return (low * odd[1]).reshape(BANDS, BAND).sum(axis=1, dtype=np.uint64)
+
+
 def alike_pairs(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
     """Pairs of sets with a Jaccard similarity of ``least`` or more, enough of them to connect all that such pairs connect.
 
@@ -341,26 +353,35 @@ def _verified(least: float, width: int):
     return run
 
 
-def _sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, same, chars, fp): one row per document with a key; ``same`` is one for texts of the same words."""
+def _sketches(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """(doc, same, chars, fp, bands): one row per document with a key; ``same`` is one for texts of the same words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [words_of(t.as_py()) for t in batch.column(1)]
-            joined = [b" ".join(w) for w in words]
-            fps = pa.array(np.array([fingerprint(w) for w in words], np.uint64).view(np.int64))
-            same = pa.array([blake2b(j, digest_size=16).digest() for j in joined], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), same, pa.array(list(map(len, joined)), pa.int64()), fps], ["doc", "same", "chars", "fp"])
+            same, chars, fps, bands = [], [], [], []
+            for t in batch.column(1):  # one text's words at a time
+                words = words_of(t.as_py())
+                joined = b" ".join(words)
+                same.append(blake2b(joined, digest_size=16).digest())
+                chars.append(len(joined))
+                fps.append(fingerprint(words))
+                bands.append(bands_of(shingle_hashes(words, width)).view(np.int64))
+            fps = pa.array(np.array(fps, np.uint64).view(np.int64))
+            columns = [batch.column(0), pa.array(same, pa.binary()), pa.array(chars, pa.int64()), fps, pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "same", "chars", "fp", "bands"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.where(F.col(key).isNotNull()).select(key, text).mapInArrow(run, f"doc {kind}, same binary, chars long, fp long")
+    return docs.where(F.col(key).isNotNull()).select(key, text).mapInArrow(run, f"doc {kind}, same binary, chars long, fp long, bands array<long>")
 
 
 def _candidates(classes: DataFrame, budget: int) -> DataFrame:
-    """(a, b): links of classes (doc, fp) by fingerprints."""
+    """(a, b): links of classes (doc, fp, bands) by fingerprints and by bands; of those on a band each is linked to the first."""
     equal = staged(classes.groupBy("fp").agg(F.min("doc").alias("first")), "simhash-classes")
     links = near_links(equal.select("fp", F.col("first").alias("doc")), budget)
-    return links.unionByName(classes.join(equal, "fp").where("doc <> first").select(F.col("doc").alias("a"), F.col("first").alias("b")))
+    rows = classes.select("doc", F.posexplode("bands").alias("band", "value"))
+    on_band = rows.withColumn("first", F.min("doc").over(Window.partitionBy("band", "value"))).select("doc", "first")
+    alike = classes.join(equal, "fp").select("doc", "first").unionByName(on_band).where("doc <> first").distinct()
+    return links.unionByName(alike.select(F.col("doc").alias("a"), F.col("first").alias("b")))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", budget: int = NET_BITS, least: float = ALIKE, width: int = ALIKE_WIDTH) -> DataFrame:
@@ -373,7 +394,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", budget
 
     A component of candidates whose texts exceed LOT is divided into parts, and every two parts meet in a task of their own.
     """
-    sketches = staged(_sketches(docs, key, text), "simhash-sketches")
+    sketches = staged(_sketches(docs, key, text, width), "simhash-sketches")
     classes = staged(sketches.groupBy("same").agg(F.min("doc").alias("doc"), *(F.first(c).alias(c) for c in sketches.columns if c not in ("doc", "same"))), "simhash-texts")
     copies = sketches.select("doc", "same").join(classes.select("same", F.col("doc").alias("first")), "same").where("doc <> first")
     copies = copies.select(F.col("doc").alias("a"), F.col("first").alias("b")).distinct()

@@ -148,3 +148,21 @@ def test_one_of_each_component_of_verified_links_stays(spark, monkeypatch, lot):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = sorted(r.doc_id or 0 for r in simhash.one_of_each(docs, budget=9).collect())
     assert kept == sorted({0, *brute_components(alike, [k for k in texts if k]).values()}) == [0, 1, 31]
+
+
+def test_pairs_just_alike_are_found(spark):
+    rng = random.Random(8)
+    rows, alike = [], []
+    for i in range(150):
+        w = [f"t{rng.randrange(9000)}" for _ in range(300)]
+        near = list(w)
+        for at in rng.sample(range(0, 300, 5), 6):
+            near[at] = "changed"
+        rows += [(i, " ".join(w)), (1000 + i, " ".join(near))]
+        if jaccard(rows[-2][1], rows[-1][1]) >= 0.8:
+            alike.append(1000 + i)
+    assert len(alike) > 100
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.one_of_each(docs).collect()}
+    assert set(range(150)) <= kept and {1000 + i for i in range(150)} - kept <= set(alike)
+    assert len(kept & set(alike)) <= 0.02 * len(alike)
