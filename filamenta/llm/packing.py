@@ -13,63 +13,110 @@ occur. Rows with a null key are packed like others.
 
 from __future__ import annotations
 
+import string
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filamenta.session import staged
 
 LENGTH, END = 4096, 1
-SHARD = 32768
+SHARD = 4096
 REPACK = 0.97
 CACHED_WORDS = 1_000_000
-TOGETHER = 64  # texts whose words are looked up at once
-ROUNDS = 200
+LOT_BYTES = 1 << 22  # of texts whose words are looked up at once
 
 
 class Encoder:
     """Token ids by a tokenizers file that lower-cases and drops white space, with the ids of words kept.
 
     Such a tokenizer works on each run between ASCII white space alone, so ids of the runs, joined, are the ids of the
-    text. A mark of MARKS after an ASCII letter is a token of its own, so a word's ids serve with and without it.
+    text. ASCII marks after an ASCII letter are one token run of their own, so a word's ids serve with and without them.
+    Words of letters alone give one token with a word end each; new ones are read together and parted there.
     """
 
-    MARKS = b".,;:!?"
+    MARKS = string.punctuation.encode()
+    WORD_END = "</w>"
+    TOGETHER = 256  # new words in one reading
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith(self.WORD_END)]] = True
 
-    def _words(self, text: str | None) -> list[bytes]:
-        raw = (text or "").encode("utf-8", "replace")
-        return (raw if b"<|" in raw else raw.lower()).split()  # names of special tokens are read as they are written
+    def _alone(self, words: list[bytes]) -> None:
+        for w, e in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
+            self.known[w] = np.array(e.ids, "<u4").tobytes()
 
     def _learn(self, words: list[bytes]) -> None:
+        letters = [w for w in words if w.isalpha() or not w.isascii() and w.decode().isalpha()]
+        known, odd = self.known, list(set(words).difference(letters))
+        lots = [letters[i : i + self.TOGETHER] for i in range(0, len(letters), self.TOGETHER)]
+        for lot, e in zip(lots, self.tokenizer.encode_batch_fast([b" ".join(lot).decode() for lot in lots], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            stops = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(stops) != len(lot):  # some letter is another character in lower case
+                odd += lot
+                continue
+            raw, start = ids.tobytes(), 0
+            for w, stop in zip(lot, stops.tolist(), strict=True):
+                known[w] = raw[start:stop]
+                start = stop
+        self._alone(odd)
+
+    def _lookup(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words."""
         known = self.known
-        for w, e in zip(words, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit numbers."""
-        split = [self._words(t) for t in texts]
-        known = self.known
-        new = set().union(*split).difference(known)
+        new = [w for w in words if w not in known]
         if len(known) + len(new) > CACHED_WORDS:
             known.clear()
-            new = set().union(*split)
-        marked = {w: w[:-1] for w in new if len(w) > 1 and w[-1] in self.MARKS and 97 <= w[-2] <= 122}
-        stems = new.difference(marked).union(marked.values(), (self.MARKS[k : k + 1] for k in range(len(self.MARKS))))
-        self._learn(list(stems.difference(known)))
-        for w, stem in marked.items():
-            known[w] = known[stem] + known[w[-1:]]
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+            new = words
+        parts, needed = {}, set()
+        for w in new:
+            stem = w.rstrip(self.MARKS)
+            if len(stem) < len(w) and stem and (97 <= stem[-1] <= 122) and b"<|" not in w:
+                parts[w] = stem
+                needed.add(stem)
+                needed.add(w[len(stem) :])
+            else:
+                needed.add(w)
+        self._learn([w for w in needed if w not in known])
+        for w, stem in parts.items():
+            known[w] = known[stem] + known[w[len(stem) :]]
+        return [known[w] for w in words]
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, one after the other; where each text's ids end). Names of special tokens are read as they are written."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        split = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+        coded = split.flatten().dictionary_encode()
+        raw = self._lookup(coded.dictionary.cast(pa.binary()).to_pylist())
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        ids = np.frombuffer(b"".join(raw), "<u4")
+        word = coded.indices.to_numpy(zero_copy_only=False)
+        size_at = size[word]
+        stop = np.cumsum(size_at)
+        flat = ids[np.repeat((np.cumsum(size) - size)[word] - (stop - size_at), size_at) + np.arange(stop[-1] if len(stop) else 0)]
+        ends = np.r_[0, stop][split.offsets.to_numpy() - split.offsets[0].as_py()][1:]
+        return flat, ends
+
+
+def _lots(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """(number of the first, texts): runs of about LOT_BYTES, or one longer text."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).cumsum() if len(texts) else []
+    first = 0
+    while first < len(texts):
+        stop = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + LOT_BYTES, "right")))
+        yield first, texts.slice(first, stop - first)
+        first = stop
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -91,15 +138,18 @@ def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", length: int =
     """(key, piece, start, length, ids_crc32): one row per piece; with ``ids`` also the piece's ids as binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = _encoder(tokenizer), np.uint32(END).tobytes()
+        encode, end = _encoder(tokenizer), np.array([END], "<u4")
         for batch in batches:
             rows: list[tuple] = []
-            for first in range(0, batch.num_rows, TOGETHER):
-                for i, buf in enumerate(encode(batch.column(1).slice(first, TOGETHER).to_pylist()), first):
-                    buf += end
-                    for p, at in enumerate(range(0, len(buf), 4 * length)):
-                        part = buf[at : at + 4 * length]
-                        rows.append((i, p, at // 4, len(part) // 4, zlib.crc32(part), part if ids else None))
+            for first, texts in _lots(batch.column(1)):
+                flat, ends = encode(texts)
+                begin = 0
+                for i, stop in enumerate(ends.tolist(), first):
+                    own = np.concatenate((flat[begin:stop], end))
+                    begin = stop
+                    for p, at in enumerate(range(0, len(own), length)):
+                        part = own[at : at + length].tobytes()
+                        rows.append((i, p, at, len(part) // 4, zlib.crc32(part), part if ids else None))
             take, piece, start, n, crc, part = (list(c) for c in zip(*rows, strict=True)) if rows else ([] for _ in range(6))
             columns = [batch.column(0).take(pa.array(take, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(c, pa.int64()) for c in (start, n, crc))]
             names = ["key", "piece", "start", "length", "ids_crc32"]
@@ -134,63 +184,109 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
     return bins
 
 
-def _trade(give: list[int], take: list[int], room: int, lengths: list[int]) -> tuple[list[int], list[int], int]:
-    """The exchange between an emptier bin (give) and a fuller one with ``room`` that moves most tokens to the fuller one.
+class _Search:
+    """Bins by fill, and what each underfull one offers in a trade: its pieces' lengths, and sums of two of them.
 
-    Move, one for one, two for one and one for two. Returns the items given, the items taken back and the tokens gained.
+    Pieces of one length are alike, so a bin lists each of its lengths once; a bin of ``size`` has fewer than
+    sqrt(2 size) of them, which bounds the sums.
     """
-    sorted_give = sorted((lengths[i], i) for i in give)
-    keys = [n for n, _ in sorted_give]
-    best: tuple[list[int], list[int], int] = ([], [], 0)
-
-    def offer(back: list[int]) -> None:
-        nonlocal best
-        lost = sum(lengths[j] for j in back)
-        k = bisect_right(keys, room + lost)
-        if k and keys[k - 1] - lost > best[2]:
-            best = ([sorted_give[k - 1][1]], back, keys[k - 1] - lost)
-
-    offer([])
-    for x, j in enumerate(take):
-        offer([j])
-        for j2 in take[x + 1 :]:
-            if best[2] == room:
-                return best
-            offer([j, j2])
-    for back in [[], *([j] for j in take)]:
-        lost = sum(lengths[j] for j in back)
-        for x, (n, i) in enumerate(sorted_give):  # two of the emptier bin's for one or none
-            k = bisect_right(keys, room + lost - n, 0, x)
-            if k and n + keys[k - 1] - lost > best[2]:
-                best = ([i, sorted_give[k - 1][1]], back, n + keys[k - 1] - lost)
-    return best
-
-
-def local_search(bins: list[list[int]], lengths: list[int], size: int, rounds: int = ROUNDS) -> list[list[int]]:
-    """Raises the sum of squared fills by trades from the emptiest bins, until none helps or no bin can be spared."""
-    fills = [sum(lengths[i] for i in b) for b in bins]
-    least = -(-sum(fills) // size)
-    for _ in range(rounds):
-        if sum(1 for b in bins if b) <= least:
-            break
-        under = sorted((f, b) for b, f in enumerate(fills) if 0 < f < size)
+
+    GONE = 1 << 40
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], size: int):
+        self.bins, self.lengths, self.size = bins, lengths, size
+        self.fills = np.array([sum(lengths[i] for i in b) for b in bins], np.int64)
+        self.offers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.left = len(bins)
+
+    def offer(self, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """(takes, pairs) of a bin: the lengths that it can give back in a trade (0 for none), and sums of two as (sum, one)."""
+        if b not in self.offers:
+            own, n = np.unique([self.lengths[i] for i in self.bins[b]], return_counts=True)
+            i, j = np.triu_indices(len(own))
+            both = (i != j) | (n[i] > 1)
+            self.offers[b] = np.r_[0, own], np.c_[own[i] + own[j], own[i]][both]
+        return self.offers[b]
+
+    def _take(self, b: int, lengths: list[int]) -> list[int]:
+        out = []
+        for n in lengths:
+            k = next(k for k, i in enumerate(self.bins[b]) if self.lengths[i] == n)
+            out.append(self.bins[b].pop(k))
+        return out
+
+    def empty(self, low: int) -> bool:
+        """Trades that move tokens from ``low`` to fuller bins, the largest first, until none is left or it is empty; True if any was made."""
+        others = np.flatnonzero((self.fills >= max(1, self.fills[low])) & (self.fills < self.size))
+        others = others[others != low].tolist()
+        if not others:
+            return False
+        offers = [self.offer(b) for b in others]
+        one, one_at = np.concatenate([o[0] for o in offers]), np.repeat(others, [len(o[0]) for o in offers])
+        two, two_at = np.concatenate([o[1] for o in offers]), np.repeat(others, [len(o[1]) for o in offers])
         changed = False
-        for f, low in under:
-            if fills[low] != f:
-                continue
-            for g, high in reversed(under):
-                if high == low or fills[high] != g or g < fills[low] or not bins[low]:
-                    continue
-                given, back, gain = _trade(bins[low], bins[high], size - g, lengths)
-                if gain > 0:
-                    bins[low] = [i for i in bins[low] if i not in given] + back
-                    bins[high] = [i for i in bins[high] if i not in back] + given
-                    fills[low], fills[high] = fills[low] - gain, g + gain
-                    changed = True
-            if changed:
+        while self.bins[low]:
+            takes, pairs = self.offer(low)
+            gives = np.r_[takes[1:], pairs[:, 0]]  # one or two of the low bin's
+            first = np.r_[takes[1:], pairs[:, 1]]
+            order = np.argsort(gives, kind="stable")
+            gives, first = gives[order], first[order]
+            room = self.size - self.fills
+            best = (0, 0, [], [])
+            for give, start, back, at, parts in ((gives, first, one, one_at, None), (takes[1:], takes[1:], two[:, 0], two_at, two[:, 1])):
+                k = np.searchsorted(give, room[at] + back, "right") - 1
+                gain = np.where((k >= 0) & (back < self.GONE), give[np.maximum(k, 0)] - back, 0)
+                top = int(np.argmax(gain)) if len(gain) else 0
+                if len(gain) and gain[top] > best[0]:
+                    g, f, r = int(give[k[top]]), int(start[k[top]]), int(back[top])
+                    returned = [] if not r else [r] if parts is None else [int(parts[top]), r - int(parts[top])]
+                    best = (int(gain[top]), int(at[top]), [f] if g == f else [f, g - f], returned)
+            gain, high, given, returned = best
+            if not gain:
                 break
-        if not changed:
-            break
+            moved, back_again = self._take(low, given), self._take(high, returned)
+            self.bins[low] += back_again
+            self.bins[high] += moved
+            self.fills[low] -= gain
+            self.fills[high] += gain
+            self.offers.pop(low, None)
+            self.offers.pop(high, None)
+            one[one_at == high], two[two_at == high, 0] = self.GONE, self.GONE
+            if self.fills[high] < self.size:
+                a, b = self.offer(high)
+                one, one_at = np.r_[one, a], np.r_[one_at, np.full(len(a), high)]
+                two, two_at = np.r_[two, b], np.r_[two_at, np.full(len(b), high)]
+            changed = True
+        self.left -= not self.bins[low]
+        return changed
+
+
+def local_search(bins: list[list[int]], lengths: list[int], size: int) -> list[list[int]]:
+    """Raises the sum of squared fills by trades with the emptiest bins, until none helps or no bin can be spared.
+
+    A trade moves a piece, or exchanges one for one, two for one or one for two, so that tokens go from the emptier bin to
+    the fuller one; squared fill rises with every trade. As many of the emptiest bins are worked on as could be spared,
+    until none of them has a trade. Then every other underfull bin is worked on once, and if the emptiest ones free a bin
+    after that, the search goes on.
+    """
+    search = _Search(bins, lengths, size)
+    least = -(-int(search.fills.sum()) // size)
+
+    def sweep(start: int, stop: int) -> bool:
+        changed = False
+        for low in np.argsort(np.where(search.fills > 0, search.fills, size + 1), kind="stable")[start:stop].tolist():
+            if 0 < search.fills[low] < size and search.left > least:
+                changed |= search.empty(low)
+        return changed
+
+    before = len(bins) + 1
+    while least < search.left < before:
+        before = search.left
+        for widen in (False, True):
+            if widen:
+                sweep(search.left - least, search.left)
+            while search.left > least and sweep(0, search.left - least):
+                pass
     return [b for b in bins if b]
 
 
@@ -216,7 +312,8 @@ def _pack_shards(rows: DataFrame, size: int, shards: int, turn: int) -> DataFram
 
     names = [f for f in rows.schema.fields if f.name != "shard"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in names) + ", sequence_id long, offset long, fill long"
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64(*[f.name for f in names], F.lit(turn)), F.lit(shards)))
+    # rows are dealt by their place in the staged table, so that equal rows part and a lost task is dealt the same again
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(turn)), F.lit(shards)))
     return dealt.groupBy("shard").applyInPandas(run, schema)
 
 

@@ -56,3 +56,27 @@ def test_packed_documents_round_trip(spark):
         assert at <= 4096
     assert len(bins) == -(-sum(r.length for r in got) // 4096)
     assert packing.packed_documents(docs.limit(0)).count() == 0
+
+
+def test_equal_rows_are_dealt_to_many_shards(spark):
+    rows = spark.createDataFrame([(1, 0, 0, 100, 7)] * 2000, "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(4)
+    shards = {}
+    for r in packing._pack_shards(rows, 4096, 8, 0).collect():
+        shards[r.sequence_id >> 28] = shards.get(r.sequence_id >> 28, 0) + 1
+    assert len(shards) == 8 and max(shards.values()) < 400
+    full = packing.packed(rows.where("length > 0"), 4096, shard=250)
+    assert full.count() == 2000 and full.select("sequence_id").distinct().count() == 50
+
+
+def test_search_is_whole_on_many_bins():
+    rng = random.Random(5)
+    lengths = [rng.randint(1024, 2048) for _ in range(1500)]
+    bins = packing.pack(lengths, 4096)
+    assert sorted(i for b in bins for i in b) == list(range(len(lengths))) and len(bins) < 0.97 * len(packing.best_fit(lengths, 4096))
+    spare = len(bins) - -(-sum(lengths) // 4096)
+    lows = sorted(bins, key=lambda b: sum(lengths[i] for i in b))[:spare]
+    fills = [sum(lengths[i] for i in b) for b in bins]
+    for low in lows:  # no move or one-for-one exchange is left
+        for high, fill in zip(bins, fills, strict=True):
+            if high is not low and fill < 4096 and fill >= sum(lengths[i] for i in low):
+                assert all(lengths[i] - lengths[j] <= 0 or fill + lengths[i] - lengths[j] > 4096 for i in low for j in high)
