@@ -1,39 +1,69 @@
 """Toxicity by two class-conditional Kneser-Ney models.
 
-Words are lower-cased runs of letters and digits. For either class a bigram model backs off to continuation counts of the
-word, in the strength of SHARED counts, those to the word's first PREFIX letters, and those to shared counts of how many classes have an expression at all, so
-that one seen once or never is judged by what it shares with others and not by the size of a class's sample. A document's evidence is the
-difference of the two log-likelihoods, divided by its number of words, and the same over its strongest windows of WINDOWS
-words; a logistic curve, fitted on documents that the counts did not see, turns both into a score from 0 to 1.
+Words are lower-cased runs of letters and digits. Each class has an interpolated Kneser-Ney bigram model: discounted counts
+of word pairs, backed off to what both classes share about the pair, backed off to the class's discounted continuation
+counts of the word, backed off to what both share about the word, backed off to one part in the vocabulary and one more for
+words that the sample lacks. What is shared counts, as continuation counts do, in how many classes an expression occurs, so
+that a rare one is judged by what it shares with others. Every level sums to one, so a text has a log-likelihood in each
+class; counts are of distinct contexts at every level, so that a passage that many documents repeat counts once. What is
+compared is the difference of the two, by words after words and by words alone, divided by the number of words: of the
+whole text, and of its strongest stretches of WINDOWS words, as a long text dilutes a short insult.
+A logistic curve, fitted on documents that the counts did not see, turns these into a score from 0 to 1.
 
 The counts come from a bounded sample: at most FIT_DOCS labelled documents of each class, those with the smallest hash of
-their key. That bounds the model that is broadcast. Scoring covers every row and whole texts. Word pairs and words that
-occur once in the sample count for the levels below them only.
-
-Null and empty texts have no evidence and get the curve's score for none. Labels that are null are ignored; a document
-with contradicting labels is toxic. Without both classes in the sample the score is the smoothed share of toxic labels.
+their key, and one row a key. That bounds the model, which one task fits and which is broadcast. Scoring covers every row
+and whole texts.
+
+Null and empty texts, and others without words, have no evidence and get the curve's score for none. Labels that are null
+are ignored; a document with contradicting labels is toxic. Repeated rows score alike, also in the sample, where the
+largest of a repeated key's texts counts. Ties of hashes go to the smaller key. Without both classes in the sample the
+score is the smoothed share of toxic labels, and a quarter without any, so that nothing is taken for toxic unseen. An empty table gives an empty result.
+Columns of other names pass through untouched; the score replaces a column of its own name.
 """
 
 from __future__ import annotations
 
 import pickle
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FIT_DOCS = 4000
-PREFIX = 4
-WINDOWS = (4, 32)
-SHARED = 4.0
-WORD = re.compile(r"[^\W_]+")
+WINDOWS = (1, 4, 32)
+FEATURES = 2 * (1 + len(WINDOWS))
+LOT_BYTES = 1 << 22  # of texts whose words are coded at once
+NO_WORD = r"[^\p{L}\p{N}]+"
+
+
+def coded(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct words, each word's number in them, where each text's words end)."""
+    split = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts.cast(pa.string()), "")), NO_WORD)
+    flat = split.flatten()
+    full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    ends = np.r_[0, np.cumsum(full)][split.offsets.to_numpy() - split.offsets[0].as_py()][1:]
+    words = flat.filter(pa.array(full)).dictionary_encode()
+    return words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False).astype(np.int64), ends
+
+
+def lots(texts: pa.Array) -> Iterator[pa.Array]:
+    """Runs of about LOT_BYTES, or one longer text."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).cumsum()
+    first = 0
+    while first < len(texts):
+        stop = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + LOT_BYTES, "right")))
+        yield texts.slice(first, stop - first)
+        first = stop
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+def hashes(words: list[str]) -> np.ndarray:
+    from xxhash import xxh64_intdigest
+
+    return np.fromiter((xxh64_intdigest(w.encode()) for w in words), np.uint64, len(words))
 
 
 def _discount(counts: np.ndarray) -> float:
@@ -41,69 +71,116 @@ def _discount(counts: np.ndarray) -> float:
     return n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
 
 
+def _level(counts: np.ndarray, below: np.ndarray, rest: float) -> tuple[np.ndarray, float]:
+    """Discounted shares of counts, with the mass left over dealt as ``below`` (and ``rest`` for what is not listed) says."""
+    total = counts.sum()
+    if not total:
+        return below, rest
+    d = _discount(counts)
+    left = d * (counts > 0).sum() / total
+    return np.maximum(counts - d, 0) / total + left * below, left * rest
+
+
+def _counts(pairs: np.ndarray, n: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """The counts n of sorted pairs, 0 for those that are not there."""
+    if not len(pairs):
+        return np.zeros(len(asked))
+    at = np.minimum(np.searchsorted(pairs, asked), len(pairs) - 1)
+    return np.where(pairs[at] == asked, n[at], 0)
+
+
+class Discounted:
+    """Discounted shares of pairs v * size + w among their v, and the share of v that is left for the level below."""
+
+    def __init__(self, pairs: np.ndarray, n: np.ndarray, size: int):
+        self.size, self.pairs, self.n = size, pairs, n
+        self.d = _discount(n)
+        v = pairs // size
+        self.seen = np.bincount(v, n, size + 1)
+        self.left = np.where(self.seen > 0, self.d * np.bincount(v, minlength=size + 1) / np.maximum(self.seen, 1), 1.0)
+
+    def of(self, pairs: np.ndarray, below: np.ndarray) -> np.ndarray:
+        v = pairs // self.size
+        return np.maximum(_counts(self.pairs, self.n, pairs) - self.d, 0) / np.maximum(self.seen[v], 1) + self.left[v] * below
+
+
 class Models:
-    """The log-likelihood ratio, toxic against ordinary, in additive parts: word and word pair."""
-
-    def __init__(self, docs: list[list[str]], toxic: np.ndarray):
-        names: dict[str, int] = {}
-        coded = [np.fromiter((names.setdefault(w, len(names)) for w in d), np.int64, len(d)) for d in docs]
-        size, start = len(names) + 1, len(names)  # the last number stands for the start of a text
-        heads: dict[str, int] = {}
-        head = np.fromiter((heads.setdefault(w[:PREFIX], len(heads)) for w in names), np.int64, len(names))
-        pairs = [np.r_[start, d[:-1]] * size + d if len(d) else d for d in coded]
-        sides = []
-        for c in (1, 0):
-            mine = [p for p, t in zip(pairs, toxic, strict=True) if t == c]
-            sides.append(np.unique(np.concatenate(mine) if mine else np.zeros(0, np.int64), return_counts=True))
-        follow = [np.bincount(k % size, minlength=size)[:start] for k, _ in sides]  # continuation counts of words
-        # what both classes share counts kinds, not occurrences: in how many classes an expression occurs
-        shared = (follow[0] > 0).astype(float) + (follow[1] > 0)
-        in_head = shared / np.maximum(np.bincount(head, shared, len(heads))[head], 1)
-        head_kinds = sum((np.bincount(head, f, len(heads)) > 0).astype(float) for f in follow)
-        pooled = head_kinds / max(1.0, head_kinds.sum())
-        word_p, head_p, other_p = [], [], []
-        for cont in follow:
-            total = max(1, cont.sum())
-            of_head = np.bincount(head, cont, len(heads))
-            d1, d2 = _discount(cont), _discount(of_head)
-            other = d2 * max(1, (of_head > 0).sum()) / total
-            hp = np.maximum(of_head - d2, 0) / total + other * pooled
-            left = d1 * max(1, (cont > 0).sum()) / total  # the mass that discounting words leaves to their heads
-            word_p.append(np.maximum(cont - d1, 0) / total + left * hp[head] * in_head)
-            head_p.append(left * hp)
-            other_p.append(left * other)
-        u = np.log(word_p[0]) - np.log(word_p[1])
-        listed = list(names)
-        often = np.bincount(np.concatenate(coded) if coded else np.zeros(0, np.int64), minlength=start) > 1
-        self.words = {listed[i]: float(u[i]) for i in np.flatnonzero(often)}
-        self.heads = dict(zip(heads, (np.log(head_p[0]) - np.log(head_p[1])).tolist(), strict=True))
-        self.other = float(np.log(other_p[0]) - np.log(other_p[1]))
-        keys = np.unique(np.concatenate([k for k, _ in sides]))
-        counts, seen = np.zeros((2, len(keys))), np.zeros((2, size))
-        for c, (k, n) in enumerate(sides):
-            counts[c, np.searchsorted(keys, k)] = np.maximum(n - _discount(n), 0)
-            seen[c] = np.bincount(k // size, n, size)
-        v, w = keys // size, keys % size
-        keep = (counts.sum(0) > 1) & (v < start)
-        keep[keep] = often[v[keep]] & often[w[keep]]
-        v, w, counts = v[keep], w[keep], counts[:, keep]
-        # the pair's discounted counts against SHARED counts that both classes are given as their word models expect
-        expected = np.array([np.maximum(seen[c][v], 1) * word_p[c][w] for c in (0, 1)])
-        share = SHARED * expected / expected.sum(0)
-        delta = np.log((counts[0] + share[0]) / (counts[1] + share[1])) - np.log(share[0] / share[1])
-        self.pairs = {(listed[a], listed[b]): d for a, b, d in zip(v.tolist(), w.tolist(), delta.tolist(), strict=True)}
-
-    def evidence(self, words: list[str]) -> list[float]:
-        """Mean over the words, and over the strongest window of either length; zeros without words."""
-        if not words:
-            return [0.0] * (1 + len(WINDOWS))
-        known, heads, other = self.words, self.heads, self.other
-        x = np.array([known[w] if w in known else heads.get(w[:PREFIX], other) for w in words])
-        pairs = self.pairs
-        x[1:] += [pairs.get(p, 0.0) for p in zip(words, words[1:])]
-        total = np.r_[0.0, np.cumsum(x)]
-        strongest = [float((total[n:] - total[:-n]).max() / most) for most in WINDOWS for n in (min(most, len(x)),)]
-        return [float(total[-1] / len(x)), *strongest]
+    """Log-likelihood ratios, toxic against ordinary: of words after words of no known pair, and of known pairs."""
+
+    def __init__(self, word: np.ndarray, ends: np.ndarray, toxic: np.ndarray, names: np.ndarray):
+        """word: numbers of all texts' words; names: the hashes of the numbers 0, 1, ..."""
+        size = len(names)
+        start = np.zeros(len(word), bool)
+        first = np.r_[0, ends[:-1]][np.diff(ends, prepend=0) > 0]
+        start[first] = True
+        before = np.where(start, size, np.r_[0, word[:-1]]) if len(word) else word
+        side = np.repeat(toxic, np.diff(ends, prepend=0))
+        pair = before * size + word
+        _, number = np.unique(pair, return_inverse=True)
+        earlier = np.where(start, -1, np.r_[0, number[:-1]]) if len(word) else word  # the pair that ends where this one begins
+        counted = []
+        for c in (0, 1):
+            _, one = np.unique((earlier * size + word)[side == c], return_index=True)
+            counted.append(np.unique(pair[side == c][one], return_counts=True))
+        follow = [np.bincount(k % size, minlength=size).astype(float) for k, _ in counted]  # continuation counts of words
+        # what both classes share counts classes, not occurrences: an expression of one class weighs 1, of both 2
+        below = _level(sum((f > 0).astype(float) for f in follow), np.full(size, 1 / (size + 1)), 1 / (size + 1))
+        (ordinary, ordinary_other), (mean, mean_other) = (_level(f, *below) for f in follow)
+        both, kinds = np.unique(np.concatenate([k for k, _ in counted]), return_counts=True)
+        shared = Discounted(both, kinds.astype(float), size)
+        sides = [Discounted(k, n.astype(float), size) for k, n in counted]
+        w = both % size
+        ratio = [np.log(side.of(both, shared.of(both, p[w]))) for side, p in zip(sides, (ordinary, mean), strict=True)]
+        self.order = np.argsort(names)
+        self.names = names[self.order]
+        self.size = size
+        used = np.zeros(size, bool)
+        used[np.unique(word)] = True
+        unknown = float(np.log(mean_other) - np.log(ordinary_other))
+        self.words = np.r_[np.where(used, np.log(mean) - np.log(ordinary), unknown), unknown].astype(np.float32)
+        self.after = np.r_[np.log(sides[1].left) - np.log(sides[0].left), 0.0].astype(np.float32)  # start is number size, an unknown word size + 1
+        self.pairs, self.ratio = both, (ratio[1] - ratio[0]).astype(np.float32)
+
+    def numbers(self, names: np.ndarray) -> np.ndarray:
+        """The numbers of hashed words, ``size`` for unknown ones."""
+        at = np.minimum(np.searchsorted(self.names, names), self.size - 1)
+        return np.where(self.names[at] == names, self.order[at], self.size)
+
+    def evidence(self, word: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Per text, for either order, the mean ratio over its words, and over the strongest stretch of each of WINDOWS; zeros without words."""
+        out = np.zeros((len(ends), FEATURES))
+        if not len(word):
+            return out
+        begin = np.r_[0, ends[:-1]]
+        held = ends > begin
+        before = np.where(np.r_[0, word[:-1]] == self.size, self.size + 1, np.r_[0, word[:-1]])
+        before[begin[held]] = self.size
+        single = self.words[word]
+        double = single + self.after[before]
+        known = np.flatnonzero((word < self.size) & (before <= self.size))
+        distinct, back = np.unique(before[known] * self.size + word[known], return_inverse=True)
+        at = np.minimum(np.searchsorted(self.pairs, distinct), len(self.pairs) - 1)
+        hit = (self.pairs[at] == distinct)[back]
+        double[known[hit]] = self.ratio[at[back[hit]]]
+        out[:, : FEATURES // 2] = _stretches(double, begin, ends)
+        out[:, FEATURES // 2 :] = _stretches(single, begin, ends)
+        return out
+
+
+def _stretches(x: np.ndarray, begin: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Means of x from begin to end, and the largest sum over runs of each of WINDOWS (or the whole, if shorter), a word."""
+    n = ends - begin
+    held = n > 0
+    total = np.r_[0.0, np.cumsum(x, dtype=np.float64)]
+    out = np.zeros((len(ends), 1 + len(WINDOWS)))
+    out[:, 0] = (total[ends] - total[begin]) / np.maximum(n, 1)
+    stop, start, end = np.arange(1, len(x) + 1), np.repeat(begin, n), np.repeat(ends, n)
+    for k, most in enumerate(WINDOWS, 1):
+        # runs by their last word; those that would begin before their text count only where the text is shorter
+        whole = (stop - start >= most) | (end - start < most) & (stop == end)
+        value = np.where(whole, total[stop] - total[np.maximum(stop - most, start)], -np.inf)
+        out[held, k] = np.maximum.reduceat(value, begin[held]) / most
+    return out
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -119,31 +196,46 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return beta
 
 
-def fit(texts: list[str | None], toxic: list[int], shares: tuple[float, float]) -> dict:
+def _parts(word: np.ndarray, ends: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = np.diff(ends, prepend=0)
+    return word[np.repeat(keep, n)], np.cumsum(n[keep])
+
+
+def fit(texts: pa.Array, toxic: list[int], shares: tuple[float, float]) -> dict:
     """Models and curve. shares: labelled documents for each sampled one, of ordinary and of toxic documents."""
     y = np.array(toxic, np.int64)
-    if min((y == 0).sum(), (y == 1).sum()) < 4:
+    names, word, ends = coded(texts)
+    if min((y == 0).sum(), (y == 1).sum()) < 4 or not names:
         n = [(y == c).sum() * shares[c] for c in (0, 1)]
-        return {"models": None, "curve": None, "prior": float((n[1] + 1) / (sum(n) + 2))}
-    pool: dict[str, str] = {}  # equal words are one object
-    docs = [[pool.setdefault(w, w) for w in words_of(t)] for t in texts]
+        return {"models": None, "curve": None, "prior": float((n[1] + 0.5) / (sum(n) + 2))}
+    named = hashes(names)
+    del names
     fold = np.zeros(len(y), np.int64)
     for c in (0, 1):
         fold[np.flatnonzero(y == c)[1::2]] = 1
-    x = np.zeros((len(y), 1 + len(WINDOWS)))
+    x = np.zeros((len(y), FEATURES))
     for k in (0, 1):
-        other = np.flatnonzero(fold != k)
-        half = Models([docs[i] for i in other], y[other])
-        for i in np.flatnonzero(fold == k):
-            x[i] = half.evidence(docs[i])
-    return {"models": Models(docs, y), "curve": _logistic(x, y, np.array(shares)[y]), "prior": None}
-
-
-def score(model: dict, text: str | None) -> float:
+        part = _parts(word, ends, fold != k)
+        if not len(part[0]):
+            continue
+        half = Models(*part, y[fold != k], named)
+        lacking = np.ones(len(named) + 1, bool)
+        lacking[part[0]] = False
+        own, stops = _parts(word, ends, fold == k)
+        x[fold == k] = half.evidence(np.where(lacking[own], half.size, own), stops)
+    return {"models": Models(word, ends, y, named), "curve": _logistic(x, y, np.array(shares)[y]), "prior": None}
+
+
+def scores(model: dict, texts: pa.Array) -> np.ndarray:
+    """The scores of texts."""
     if model["models"] is None:
-        return model["prior"]
-    z = float(np.clip(np.dot([*model["models"].evidence(words_of(text)), 1.0], model["curve"]), -500, 500))
-    return float(1 / (1 + np.exp(-z)))
+        return np.full(len(texts), model["prior"])
+    own, out = model["models"], [np.zeros(0)]
+    for lot in lots(texts):
+        names, word, ends = coded(lot)
+        x = own.evidence(own.numbers(hashes(names))[word] if names else word, ends)
+        out.append(1 / (1 + np.exp(-np.clip(np.c_[x, np.ones(len(x))] @ model["curve"], -500, 500))))
+    return np.concatenate(out)
 
 
 def fitted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", fit_docs: int = FIT_DOCS) -> bytes:
@@ -153,19 +245,21 @@ def fitted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     hashed = known.withColumn("h", F.xxhash64(F.col(key).cast("string")))
     sample = None
     for c in (0, 1):
-        part = hashed.where(F.col("y") == c).orderBy("h", key).limit(fit_docs).select(key, "y")
+        part = hashed.where(F.col("y") == c).orderBy("h", key).limit(fit_docs).select(F.col(key).alias("key"), "h", "y")
         sample = part if sample is None else sample.unionByName(part)
     taken = {c: max(1, min(fit_docs, counts.get(c, 0))) for c in (0, 1)}
     shares = tuple(counts.get(c, 0) / taken[c] for c in (0, 1))
-    rows = docs.select(key, text).join(F.broadcast(sample), key).select(F.xxhash64(F.col(key).cast("string")).alias("h"), F.col(text).alias("text"), "y")
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(sample), "key")
+    rows = rows.groupBy("h", "key", "y").agg(F.max("text").alias("text")).select("h", "key", "text", "y")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frame = pd.concat([*frames, pd.DataFrame({"h": [], "text": [], "y": []})]).sort_values(["h", "y"], kind="stable")
-        texts = [t if isinstance(t, str) else None for t in frame["text"]]
-        yield pd.DataFrame({"model": [pickle.dumps(fit(texts, frame["y"].astype(int).tolist(), shares))]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        table = pa.Table.from_batches(held).sort_by([("h", "ascending"), ("key", "ascending")]) if held else None
+        model = fit(table["text"].combine_chunks(), table["y"].to_pylist(), shares) if table else fit(pa.array([], pa.string()), [], shares)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model, protocol=5)], pa.binary())], ["model"])
 
-    made = rows.repartition(1).mapInPandas(run, "model binary").collect()
-    return bytes(made[0]["model"]) if made else pickle.dumps(fit([], [], (0.0, 0.0)))
+    made = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    return bytes(made[0]["model"]) if made else pickle.dumps(fit(pa.array([], pa.string()), [], (0.0, 0.0)))
 
 
 _MODELS: dict[int, dict] = {}
@@ -187,7 +281,15 @@ def scored(docs: DataFrame, model: bytes, text: str = "text", name: str = "score
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = unpacked(shared.value)
         for t in texts:
-            yield pd.Series([score(own, x if isinstance(x, str) else None) for x in t], dtype="float64")
+            yield pd.Series(scores(own, pa.array(t, pa.string(), from_pandas=True)), dtype="float64")
 
     run.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}  # as types, not as their names
     return docs.withColumn(name, F.pandas_udf(run, "double")(F.col(text)))
+
+
+def without_toxic(docs: DataFrame, model: bytes, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below ``least``, with their own columns."""
+    name = "score"
+    while name in docs.columns:
+        name += "_"
+    return scored(docs, model, text, name).where(F.col(name) < least).select(*docs.columns)
