@@ -6,13 +6,20 @@ Candidates of the battery are maximal runs of ``[A-Za-z0-9+/_-]`` of at least MI
 span. The encoding is inferred from the characters that occur (hex, base32, base62, base64), and four statistics are
 compared with what uniform draws from that encoding would give: chi-squared over symbols, chi-squared over character
 classes, the number of class runs, and the lag-one serial correlation. The smallest p-value, Bonferroni-corrected, is the
-candidate's. Within each (encoding, length band) stratum Benjamini-Hochberg at level ALPHA rejects randomness; what it
-does not reject is reported as kind ``random``. Bands make the control length-aware: short runs, on which the tests have
-little power, do not loosen the bar for long ones. Levels come from a histogram over all rows with a bounded number of
-cells (strata x P_BINS), so only that goes to the driver.
-
-Null and empty texts have no spans. Offsets are code points, ends exclusive. Ties and repeated rows are judged alike.
-Other columns pass through; columns that this module adds replace columns of the same name.
+candidate's.
+
+What the false-discovery control bounds: a candidate is dropped only as a discovery that it is not random. Within each
+(encoding, length band) stratum Benjamini-Hochberg at level ALPHA makes these discoveries, so that at most that share of
+what is dropped is expected to be random, that is, a secret lost; the rest is reported as kind ``random``. How much of what
+is reported is no secret depends on the tests' power, which grows with length. Bands make the control length-aware: short
+runs, on which the tests have little power, do not loosen the bar for long ones. The last band holds all runs of
+MIN_LENGTH x 2^4.5 characters or more, where the tests hardly miss. Levels come from a histogram over all rows with a
+bounded number of cells (strata x P_BINS), so only that goes to the driver.
+
+Null and empty texts have no spans. Texts are whole; spans are placed in chunks of CHUNK, so that a text with very many
+costs little more than one pass. Offsets are code points, ends exclusive. Ties and repeated rows are judged alike. An empty
+table gives an empty result. ``scan_report`` and ``redacted`` leave columns of any name alone; ``secret_spans`` adds
+``base`` and ``spans``, which replace columns of these names.
 """
 
 from __future__ import annotations
@@ -20,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from filamenta.session import staged
+
 #: The base patterns, in the order in which kinds are listed.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # AKIA[A-Z0-9]+ of 20 characters or more: the same matches, as runs are maximal
@@ -31,6 +40,7 @@ MIN_LENGTH = 20
 CANDIDATE = rf"[A-Za-z0-9+/_-]{{{MIN_LENGTH},}}"
 ALPHA = 0.05
 P_BINS = 400
+CHUNK = 128
 #: Alphabets by which symbols get numbers.
 ALPHABETS = {
     "hex": "0123456789ABCDEF",
@@ -57,10 +67,17 @@ def _matches(text: Column, pattern: str, kind: int, keep=None) -> Column:
         one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["s"].alias("s")))
         return F.struct(end.alias("at"), F.concat(acc["spans"], one).alias("spans"))
 
+    def chunk(acc: Column, part: Column) -> Column:
+        own = lambda x: F.struct(x["at"].alias("at"), F.concat(acc["parts"], F.array(x["spans"])).alias("parts"))
+        return F.aggregate(part, F.struct(acc["at"].alias("at"), empty.alias("spans")), step, own)
+
     def placed(found: Column) -> Column:
         gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
         zipped = F.zip_with(gaps, found, lambda g, s: F.struct(g.alias("gap"), s.alias("s")))
-        spans = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
+        numbers = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / CHUNK).cast("int"))
+        parts = _let(zipped, lambda z: F.transform(numbers, lambda c: F.slice(z, c * CHUNK + 1, F.lit(CHUNK))))
+        none = F.expr("cast(array() as array<array<struct<start:int,kind:int,end:int,s:string>>>)")
+        spans = F.flatten(F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("parts")), chunk, lambda acc: acc["parts"]))
         return F.when(F.size(found) > 0, F.filter(spans, keep) if keep is not None else spans).otherwise(empty)
 
     return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
@@ -189,17 +206,28 @@ def secret_spans(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def redacted(df: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """``df`` with every span of ``text`` replaced by ``mask``; overlapping spans become one. Rows are kept."""
-    columns = df.columns
-    t = F.col(text)
+    """``df`` with every span of ``text`` replaced by ``mask``; overlapping spans become one. Rows and columns are kept.
 
-    def step(acc: Column, x: Column) -> Column:
+    The scan is staged, as both the levels and the masking need it.
+    """
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    rows = df.select(F.struct(*columns).alias("row"), F.col(f"`{text}`").alias("text"))
+    found = staged(judged(with_matches(rows)), "secret-candidates")
+    out = decided(found, rejection_levels(found))
+    t = F.col("text")
+
+    def merged(acc: Column, x: Column) -> Column:
+        """Where each stretch outside all spans begins and ends."""
         fresh = x["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.substring(t, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mask))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
+        gap = F.array(F.struct(acc["at"].alias("a"), x["start"].alias("b")))
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, F.concat(acc["gaps"], gap)).otherwise(acc["gaps"]).alias("gaps"))
 
-    whole = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
-    return secret_spans(df, text).withColumn(text, F.when(F.size("spans") > 0, whole).otherwise(t)).select(*columns)
+    none = F.expr("cast(array() as array<struct<a:int,b:int>>)")
+    last = lambda acc: F.concat(acc["gaps"], F.array(F.struct(acc["at"].alias("a"), F.length(t).alias("b"))))
+    gaps = F.aggregate("spans", F.struct(F.lit(0).alias("at"), none.alias("gaps")), merged, last)
+    whole = F.array_join(F.transform(gaps, lambda g: F.substring(t, g["a"] + 1, g["b"] - g["a"])), mask)
+    masked = F.when(F.size("spans") > 0, whole).otherwise(t)
+    return out.select(*[masked.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in df.columns])
 
 
 def _joined(spans: str) -> Column:
@@ -213,8 +241,6 @@ def _of_kind(k: int):
 
 def scan_report(docs: DataFrame) -> DataFrame:
     """Per document: counts by base kind, the digest of the base spans and all spans as text."""
-    from filamenta.session import staged
-
     found = staged(judged(with_matches(docs.select("doc_id", "text"))).drop("text"), "secret-candidates")
     out = decided(found, rejection_levels(found))
     counts = [F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from filamenta.llm import mixing
@@ -34,3 +35,39 @@ def test_mixed_rows_nulls_ties_and_names(spark):
     assert abs(kept - out.agg(F.sum("keep_probability")).first()[0]) < 150
     assert mixing.sampled(docs).columns == docs.columns
     assert mixing.mixed(docs.limit(0)).count() == 0
+
+
+def test_null_keys_are_drawn_by_row_and_clashing_columns_stay(spark):
+    rows = [(None, f"w{i} " * 50, "big" if i % 10 else "small", "en", "mine", i) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, kept string, cell long")
+    out = mixing.mixed(docs)
+    expected = out.agg(F.sum("keep_probability")).first()[0]
+    kept = mixing.sampled(docs)
+    assert kept.columns == docs.columns and {r.kept for r in kept.select("kept").distinct().collect()} == {"mine"}
+    assert expected < 1990 and abs(kept.count() - expected) < 100
+
+
+def test_targets_that_cannot_be_met_are_warned_of():
+    with pytest.warns(UserWarning):
+        mixing.rake({("x", "p"): 1.0, ("y", "q"): 1.0}, [{"x": 0.5, "y": 0.5}, {"p": 0.9, "q": 0.1}])
+
+
+def test_sample_against_plain_python(spark):
+    """Weights, raking and probabilities once more in plain Python, from the definition."""
+    rows = [(i, "w " * (1 + i * 7 % 400), f"s{i % 3 if i % 4 else 0}", "en" if i % 5 else "de") for i in range(600)]
+    got = {r.doc_id: r.keep_probability for r in mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()}
+    cell = {i: (s, g, "short" if t.count(" ") < 100 else "prose") for i, t, s, g in rows}
+    weight = {i: t.count(" ") + 1 for i, t, _, _ in rows}
+    fit = dict.fromkeys(cell, 1.0)
+    total = sum(weight.values())
+    shares = []
+    for axis in range(3):
+        sums = {v: sum(weight[i] for i in cell if cell[i][axis] == v) / total for v in {c[axis] for c in cell.values()}}
+        tempered = {v: s**mixing.TEMPERATURE for v, s in sums.items()}
+        shares.append({v: s / sum(tempered.values()) for v, s in tempered.items()})
+    for _ in range(200):
+        for axis in range(3):
+            sums = {v: sum(weight[i] * fit[i] for i in cell if cell[i][axis] == v) for v in shares[axis]}
+            fit = {i: f * shares[axis][cell[i][axis]] * total / sums[cell[i][axis]] for i, f in fit.items()}
+    most = max(fit.values())
+    assert all(abs(got[i] - fit[i] / most) < 1e-6 for i in fit)

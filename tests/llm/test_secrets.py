@@ -55,9 +55,31 @@ def test_battery_takes_random_keys_and_leaves_words(spark):
 
 
 def test_redaction(spark):
-    docs = spark.createDataFrame([(i, t, "y") for i, t in enumerate(TEXTS)], "doc_id long, text string, base string")
+    docs = spark.createDataFrame([(i, t, "y", "l", 1.5, "s") for i, t in enumerate(TEXTS)], "doc_id long, text string, base string, loose string, row double, `spans` string")
     out = secrets.redacted(docs)
+    assert out.schema == docs.schema and {r[2:] for r in out.collect()} == {("y", "l", 1.5, "s")}
+    assert secrets.redacted(docs.limit(0)).count() == 0
     got = {r.doc_id: r.text for r in out.collect()}
     assert out.columns == docs.columns and got[0] is None and got[1] == ""
     assert got[2] == "[SECRET] and Token: 'abc' then [SECRET]\""
     assert got[5] == "[SECRET] deadbeefdeadbeefdeadbeefg password=0123456789abcdef01234567".replace("password=0123456789abcdef01234567", "[SECRET]").replace("deadbeefdeadbeefdeadbeef", "[SECRET]")
+
+
+def test_very_many_spans_in_one_text(spark):
+    text = " ".join(f"token=abcdef{i} é" for i in range(1500))
+    docs = spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")
+    first, second = secrets.scan_report(docs).collect()
+    assert first == second and first.n_assign == 1500 and first.spans == _brute(text)
+    assert {r.text for r in secrets.redacted(docs).collect()} == {" ".join(["[SECRET] é"] * 1500)}
+
+
+def test_few_of_the_dropped_candidates_are_random(spark):
+    rng = random.Random(12)
+    keys = [_random(rng, rng.choice((24, 40, 64)), secrets.ALPHABETS["base62"]) for _ in range(1500)]
+    syllables = ["ver", "Haus", "ung", "keit", "Bau", "2024", "an", "Plan"]
+    names = ["".join(rng.choice(syllables) for _ in range(8)) for _ in range(1500)]
+    rows = [(i, k) for i, k in enumerate(keys)] + [(5000 + i, n) for i, n in enumerate(names)]
+    out = secrets.secret_spans(spark.createDataFrame(rows, "doc_id long, text string"))
+    dropped = {r.doc_id for r in out.where(F.size("spans") == 0).select("doc_id").collect()}
+    lost = len([i for i in dropped if i < 5000])
+    assert lost <= 2 * secrets.ALPHA * len(dropped) and len(dropped) > 1000
