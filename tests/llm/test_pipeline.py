@@ -48,3 +48,18 @@ def test_every_stage_takes_effect(spark, tmp_path):
     assert {r.doc_id for r in final} == ids(seen["mixing"])
     assert len({r.sequence_id for r in final}) == -(-sum(r.length for r in final) // packing.LENGTH)
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {r.doc_id for r in final}
+
+
+def test_empty_table_and_clashing_columns(spark, tmp_path):
+    kind = "doc_id long, text string, lang string, source string, n_chars long, score double, kept string, base string, loose string, row string, component_id long, spans string"
+    empty = spark.createDataFrame([], kind)
+    empty.write.parquet(f"{tmp_path}/empty/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/empty/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+    rows = [(i, f"some words {i} stand in this text token=abcdefgh{i} " + "long " * (20_000 if i == 3 else 1), "en", "a", 1, 0.5, "k", "b", "l", "r", i, "s") for i in range(30)]
+    docs = spark.createDataFrame(rows, kind)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = staged(stage(spark, docs, f"{tmp_path}/empty"), name)
+        assert docs.schema == empty.schema
+        assert {r[5:10] + r[11:] for r in docs.collect()} == {(0.5, "k", "b", "l", "r", "s")}
+        assert all(r.component_id == r.doc_id for r in docs.collect())
