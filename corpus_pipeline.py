@@ -1,6 +1,8 @@
 """From raw documents to packed training sequences, in five stages.
 
-Each stage is written as Parquet to the cluster's shared folder and read again as the next one's documents.
+Each stage is written as Parquet to the cluster's shared folder and read again as the next one's documents. Null and empty
+texts, texts of any length, ties, repeated rows and columns of other names are handled as the stages' operators say; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -13,8 +15,7 @@ from filamenta.session import staged, table
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below one half stay; the models learn from the labelled documents."""
-    model = toxicity.fitted(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model, name="_toxic_score").where("_toxic_score < 0.5").select(*docs.columns)
+    return toxicity.without_toxic(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
