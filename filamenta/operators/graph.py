@@ -1,7 +1,7 @@
 """Graphs: connected components by local contraction and alternating large-star and small-star steps.
 
-Each task first replaces its own edges by stars of the components that they form, so that most edges never move. A round
-is then two aggregations by node and two joins; a hub, whose key would bring a large share of the edges to one task, is
+Each task first replaces its own edges by stars of the components that they form, so that most edges never move. What is
+left of HELD edges or fewer is finished by one task; more go through rounds until they are as few or settled. A round is two aggregations by node and two joins; a hub, whose key would bring a large share of the edges to one task, is
 joined by broadcast, and there are few of them. Nothing but two numbers a round reaches the driver, and each round's edges
 go to the shared folder, so that a lost executor costs one round at most. Loops, repeated edges and null ends are ignored.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from filamenta.operators.joins import hot_join
 from filamenta.session import staged
 
-#: Edges that a task holds before it contracts them.
+#: Edges that a task holds before it contracts them, and that one task may finish.
 HELD = 1 << 20
 
 
@@ -82,18 +82,20 @@ def _small_star(edges: DataFrame, total: int) -> DataFrame:
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for every node that has an edge to another node; component is its smallest reachable node.
 
-    An edge table without usable rows gives an empty result. Rounds go on until the edges no longer change.
+    An edge table without usable rows gives an empty result.
     """
     kind = edges.schema[a].dataType
     rows = edges.select(F.col(a).alias("u"), F.col(b).cast(kind).alias("v")).where("u <> v")
     schema = f"u {kind.simpleString()}, v {kind.simpleString()}"
     now, mark = staged(rows.mapInArrow(_contracted, schema), "edges"), None
-    while True:
-        found = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(found) == mark or not found[0]:
+    while (n := now.count()) > HELD:
+        found = now.agg(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()[0]
+        if (n, found) == mark:
             break
-        mark = tuple(found)
-        near = _large_star(now, mark[0]).mapInArrow(_contracted, schema)
-        now = staged(_small_star(near, mark[0]).distinct(), "edges")
+        mark = (n, found)
+        near = _large_star(now, n).mapInArrow(_contracted, schema)
+        now = staged(_small_star(near, n).distinct(), "edges")
+    else:
+        now = staged(now.coalesce(1).mapInArrow(_contracted, schema), "edges")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

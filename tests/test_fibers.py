@@ -5,6 +5,7 @@ import pytest
 
 from filamenta.operators import distribution, metrics, particles, shape, solver, spatial, volumes
 from filamenta.operators import segments as sg
+from filamenta.operators import graph
 from filamenta.operators.graph import connected_components
 from filamenta.sources import fits, lammps
 
@@ -117,6 +118,17 @@ def test_solver_relaxes_a_stretched_fiber(spark):
     assert rounds <= 12 and all(abs(x - 1) < 0.06 for x in lengths)
 
 
+@pytest.mark.parametrize("held", [1 << 20, 3])
+def test_components_of_chains_and_hubs(spark, monkeypatch, held):
+    monkeypatch.setattr(graph, "HELD", held)  # the small one goes through all rounds
+    edges = [(i, i + 1) for i in range(50, 80)] + [(200, i) for i in range(201, 340)] + [(339, 341), (7, 7), (1, 2), (2, 1), (None, 3)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long").repartition(6), "a", "b").collect()}
+    assert got == {**dict.fromkeys(range(50, 81), 50), **dict.fromkeys([*range(200, 340), 341], 200), 1: 1, 2: 1}
+    names = [("b", "c"), ("c", "é"), ("x", "y")]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(names, "a string, b string").repartition(3), "a", "b").collect()}
+    assert got == {"b": "b", "c": "b", "é": "b", "x": "x", "y": "x"}
+
+
 def test_components(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (9, 9)], "a long, b long")
     assert {r.node: r.component for r in connected_components(e, "a", "b").collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
