@@ -1,7 +1,7 @@
 """Graphs: connected components by local contraction and alternating large-star and small-star steps.
 
-Each task first replaces its own edges by stars of the components that they form, so that most edges never move. What is
-left of HELD edges or fewer is finished by one task; more go through rounds until they are as few or settled. A round is two aggregations by node and two joins; a hub, whose key would bring a large share of the edges to one task, is
+HELD edges or fewer are solved by one task. Of more, each task first replaces its own by stars of the components that they
+form, so that most edges never move; what is left goes through rounds until it is as few or settled. A round is two aggregations by node and two joins; a hub, whose key would bring a large share of the edges to one task, is
 joined by broadcast, and there are few of them. Nothing but two numbers a round reaches the driver, and each round's edges
 go to the shared folder, so that a lost executor costs one round at most. Loops, repeated edges and null ends are ignored.
 """
@@ -87,7 +87,9 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     kind = edges.schema[a].dataType
     rows = edges.select(F.col(a).alias("u"), F.col(b).cast(kind).alias("v")).where("u <> v")
     schema = f"u {kind.simpleString()}, v {kind.simpleString()}"
-    now, mark = staged(rows.mapInArrow(_contracted, schema), "edges"), None
+    now, mark = staged(rows, "edges"), None  # first, as rows may come from Python: a task has one worker at a time
+    if now.count() > HELD:
+        now = staged(now.mapInArrow(_contracted, schema), "edges")
     while (n := now.count()) > HELD:
         found = now.agg(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()[0]
         if (n, found) == mark:
