@@ -15,19 +15,25 @@ and is never larger than its rows.
 ``one_of_each`` casts a wider net: fingerprints within NET_BITS, and texts that agree on a band of minima of the hashes of
 their shingles of ALIKE_WIDTH words, which is what finds nearly all pairs of similarity ALIKE. It compares the texts that
 these join exactly, and keeps one document of every component of the links of ALIKE or more.
+
+Nulls, empty and white-space texts are alike; texts are whole, however long. Ties do not arise, as the smallest key stays.
+Repeated rows are one document. An empty table gives an empty result. Columns of any other name, also of those used here,
+are not touched.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filamenta.llm.components import connected_components
+from filamenta.llm.memory import give_back
+from filamenta.operators.graph import connected_components, forest
+from filamenta.operators.joins import hot_join
 from filamenta.session import staged
 
 WIDTH, BITS, SEED = 3, 2, 42
@@ -35,10 +41,14 @@ LIMIT, LEAST_BITS, MOST_WAYS = 512, 11, 243
 PAIRS = 1 << 19
 NET_BITS, ALIKE, ALIKE_WIDTH = 6, 0.8, 5
 CHUNK = 1 << 15
+MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Characters of a part of a component of candidates, with ROW for each text; texts compared one by one before all at once.
-LOT, ROW, FEW = 8_000_000, 2000, 8
+LOT, ROW, FEW = 4_000_000, 2000, 8
+#: Times that every class is divided by blocks of bits before groups are counted, for budgets over 3 bits: rows and work
+#: then grow with the input, and not faster where groups reach LIMIT.
+WIDE_DEPTH = 2
 #: Minima of shingle hashes: two texts of similarity j agree on a band with chance j ** BAND, on one of BANDS with 0.997 at 0.8.
-BANDS, BAND = 32, 8
+BANDS, BAND = 25, 7
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -57,11 +67,16 @@ def fingerprint(words: list[bytes], width: int = WIDTH) -> int:
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - width + 1].tolist()
-    n, total = len(starts), np.zeros(64, np.int64)
     stops = ends[width - 1 :].tolist()
-    for i in range(0, n, CHUNK):
-        part = np.array([h(joined[s:e], SEED) for s, e in zip(starts[i : i + CHUNK], stops[i : i + CHUNK], strict=True)], ">u8")
-        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1)
+    return majority(np.array([h(joined[s:e], SEED) for s, e in zip(starts[i : i + CHUNK], stops[i : i + CHUNK], strict=True)], np.uint64) for i in range(0, len(starts), CHUNK))
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """The number whose bits are those that are set in over half of the hashes, which come in parts."""
+    n, total = 0, np.zeros(64, np.int64)
+    for part in parts:
+        bits = np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        n += len(part)
         for j in range(0, len(bits), 255):
             total += bits[j : j + 255].sum(0, dtype=np.uint8)
     return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
@@ -123,21 +138,6 @@ def trie_pairs(group: np.ndarray, fp: np.ndarray, budget: int, pairs: int = PAIR
     return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:
-    """The smallest row number that each of n rows reaches over the links, and those that made ``root``."""
-    root = np.arange(n) if root is None else root
-    while len(i):
-        a, b = root[i], root[j]
-        apart = a != b
-        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-        if not len(i):
-            break
-        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-        while (root[root] != root).any():
-            root = root[root]
-    return root
-
-
 def _links(budget: int):
     def solve(key: np.ndarray, fp: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
         fp = fp.view(np.uint64)
@@ -221,6 +221,8 @@ def near_links(classes: DataFrame, budget: int = BITS) -> DataFrame:
     while True:
         rows = _divide(rows, depth, blocks)
         depth += 1
+        if budget > 3 and depth < WIDE_DEPTH:
+            continue
         if blocks ** (depth + 1) > MOST_WAYS or len(_free_after("0" * depth, blocks)) <= LEAST_BITS:
             parts.append(rows)
             break
@@ -245,19 +247,32 @@ def near_duplicate_components(docs: DataFrame, key: str = "doc_id", text: str =
     Rows whose key is null are kept with a null component; a repeated key is one document. An empty table gives no rows.
     """
     fps = staged(fingerprints(docs, key, text), "simhash-fingerprints")
-    classes = staged(fps.where(F.col(key).isNotNull()).groupBy("fp").agg(F.min(key).alias("doc")), "simhash-classes")
-    found = connected_components(near_links(classes, budget), "a", "b")
-    named = classes.join(found, classes["doc"] == found["node"], "left").select("fp", F.coalesce("component", "doc").alias("component_id"))
-    out = fps.join(named, "fp", "left")
+    classes = staged(fps.groupBy("fp").agg(F.min(key).alias("doc"), F.count("*").alias("n")), "simhash-classes")
+    found = connected_components(near_links(classes.where("doc is not null"), budget), "a", "b")
+    named = classes.join(found, classes["doc"] == found["node"], "left").select("fp", "n", F.coalesce("component", "doc").alias("component_id"))
+    out = hot_join(fps, named, "fp", "n", fps.count())
     return out.select(key, "fp", F.when(F.col(key).isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def rolled(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the shingles of ``width`` words, repeats included, from the words' hashes; fewer words, or none, are one shingle."""
+    width = min(width, len(hashes))
+    out = np.zeros(max(1, len(hashes) - width + 1), np.uint64)
+    for k in range(width):
+        out = (out ^ hashes[k : k + len(out)]) * MIX
+        out ^= out >> np.uint64(29)
+    return out
+
+
 def shingle_hashes(words: list[bytes], width: int = ALIKE_WIDTH) -> np.ndarray:
-    """XXH64 of the distinct shingles of ``width`` words; fewer words, or none, are one shingle."""
+    """Hashes of the distinct shingles of ``width`` words."""
+    return np.unique(rolled(word_hashes(words), width))
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
     from xxhash import xxh64_intdigest as h
 
-    n = max(1, len(words) - width + 1)
-    return np.unique(np.fromiter((h(b" ".join(words[i : i + width]), SEED) for i in range(n)), np.uint64, n))
+    return np.fromiter(map(h, words), np.uint64, len(words))
 
 
 def bands_of(hashes: np.ndarray) -> np.ndarray:
@@ -269,11 +284,11 @@ def bands_of(hashes: np.ndarray) -> np.ndarray:
     return (low * odd[1]).reshape(BANDS, BAND).sum(axis=1, dtype=np.uint64)
 
 
-def alike_pairs(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+def alike_pairs(sets: list[np.ndarray], least: float, known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Pairs of sets with a Jaccard similarity of ``least`` or more, enough of them to connect all that such pairs connect.
 
     Two sets that alike share one of their rarest 1 - least parts, so only sets that meet there are compared, and only while
-    they are not connected yet.
+    they are not connected yet. ``known`` are numbers of what is connected before.
     """
     sizes = np.array([len(x) for x in sets])
     order = np.argsort(sizes, kind="stable")
@@ -293,6 +308,9 @@ def alike_pairs(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
         return np.concatenate([owners[at[t] : at[t + 1]] for t in tokens.tolist()])
 
     by_head, by_any, root, found = index(heads), None, np.arange(len(rows)), []
+    if known is not None:
+        _, first, own = np.unique(known[order], return_index=True, return_inverse=True)
+        root = first[own]
 
     def link(x: int, y: int) -> None:
         a, b = root[x], root[y]
@@ -321,34 +339,38 @@ def alike_pairs(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
 
 
 def _verified(least: float, width: int):
-    def solve(keys: list, texts: list) -> list[tuple]:
+    def solve(keys: list, clusters: list, texts: list) -> list[tuple]:
         found, first = [], {}
-        for k, t in zip(keys, texts, strict=True):
-            own = first.setdefault(b" ".join(words_of(t)), k)
+        for k, c, t in zip(keys, clusters, texts, strict=True):
+            own = first.setdefault(b" ".join(words_of(t)), (k, c))[0]
             if own != k:
                 found.append((k, own))
-        names = list(first.values())
-        pairs = alike_pairs([shingle_hashes(t.split(b" ") if t else [], width) for t in first], least) if len(names) > 1 else []
+        names = [k for k, _ in first.values()]
+        known = np.array([c for _, c in first.values()])
+        pairs = alike_pairs([shingle_hashes(t.split(b" ") if t else [], width) for t in first], least, known) if len(names) > 1 else []
         return found + [(names[i], names[j]) for i, j in pairs if names[i] != names[j]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (group, key, text) come sorted by group."""
-        group, keys, texts, kind = None, [], [], None
+        """Rows (group, key, cluster, text) come sorted by group."""
+        group, keys, clusters, texts, kind = None, [], [], [], None
 
         def out(found: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
             found, kind = [], batch.schema.field(1).type
-            for g, k, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for g, k, c, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if g != group:
-                    found += solve(keys, texts)
-                    group, keys, texts = g, [], []
+                    found += solve(keys, clusters, texts)
+                    group, keys, clusters, texts = g, [], [], []
                 keys.append(k)
+                clusters.append(c)
                 texts.append(t)
             yield out(found)
         if keys:
-            yield out(solve(keys, texts))
+            yield out(solve(keys, clusters, texts))
+        keys, clusters, texts = [], [], []
+        give_back()
 
     return run
 
@@ -364,11 +386,13 @@ def _sketches(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
                 joined = b" ".join(words)
                 same.append(blake2b(joined, digest_size=16).digest())
                 chars.append(len(joined))
-                fps.append(fingerprint(words))
-                bands.append(bands_of(shingle_hashes(words, width)).view(np.int64))
+                hashes = word_hashes(words)
+                fps.append(majority([rolled(hashes, WIDTH)]) if words else 0)
+                bands.append(bands_of(np.unique(rolled(hashes, width))).view(np.int64))
             fps = pa.array(np.array(fps, np.uint64).view(np.int64))
             columns = [batch.column(0), pa.array(same, pa.binary()), pa.array(chars, pa.int64()), fps, pa.array(bands, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc", "same", "chars", "fp", "bands"])
+        give_back()
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.where(F.col(key).isNotNull()).select(key, text).mapInArrow(run, f"doc {kind}, same binary, chars long, fp long, bands array<long>")
@@ -376,14 +400,70 @@ def _sketches(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
 
 def _candidates(classes: DataFrame, budget: int) -> DataFrame:
     """(a, b): links of classes (doc, fp, bands) by fingerprints and by bands; of those on a band each is linked to the first."""
-    equal = staged(classes.groupBy("fp").agg(F.min("doc").alias("first")), "simhash-classes")
+    equal = staged(classes.groupBy("fp").agg(F.min("doc").alias("first"), F.count("*").alias("n")), "simhash-classes")
     links = near_links(equal.select("fp", F.col("first").alias("doc")), budget)
     rows = classes.select("doc", F.posexplode("bands").alias("band", "value"))
-    on_band = rows.withColumn("first", F.min("doc").over(Window.partitionBy("band", "value"))).select("doc", "first")
-    alike = classes.join(equal, "fp").select("doc", "first").unionByName(on_band).where("doc <> first").distinct()
+    shared = staged(rows.groupBy("band", "value").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1"), "simhash-bands")
+    total = classes.count()
+    on_band = hot_join(rows, shared, ["band", "value"], "n", total)
+    alike = hot_join(classes.select("doc", "fp"), equal, "fp", "n", total).select("doc", "first").unionByName(on_band.select("doc", "first")).where("doc <> first")
     return links.unionByName(alike.select(F.col("doc").alias("a"), F.col("first").alias("b")))
 
 
+class _Verifier:
+    """Exact links within components of candidates, every one of which is dealt to parts of about LOT characters.
+
+    The members of a part meet first. Then the clusters of verified links meet by one member each. What is still apart from
+    a component's largest cluster is dealt to lots of its own, and every lot meets every part: all pairs that no link has
+    connected yet are compared, and a component that is one group of copies costs no more than its texts.
+    """
+
+    def __init__(self, docs: DataFrame, key: str, text: str, least: float, width: int):
+        self.texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+        self.kind = docs.schema[key].dataType.simpleString()
+        self.least, self.width = least, width
+
+    def solved(self, groups: DataFrame, name: str) -> DataFrame:
+        """Links (a, b) between the members (doc, cluster) of every ``group``."""
+        rows = self.texts.join(groups.select(F.col("doc").alias("key"), "group", "cluster"), "key").select("group", "key", "cluster", "text")
+        ready = rows.repartition("group").sortWithinPartitions("group")
+        return staged(ready.mapInArrow(_verified(self.least, self.width), f"a {self.kind}, b {self.kind}"), name)
+
+    @staticmethod
+    def dealt(members: DataFrame, name: str, total: int) -> DataFrame:
+        """``members`` (doc, component, size) with the number of parts of their component, ``name``_of, and their own, ``name``."""
+        lots = members.groupBy("component").agg(F.ceil(F.sum("size") / LOT).cast("int").alias(f"{name}_of"), F.count("*").alias("n"))
+        placed = hot_join(members, lots, "component", "n", total).drop("n")
+        return placed.withColumn(name, F.pmod(F.xxhash64("doc"), F.col(f"{name}_of")).cast("int"))
+
+    @staticmethod
+    def clustered(members: DataFrame, links: DataFrame) -> DataFrame:
+        found = connected_components(links, "a", "b").select(F.col("node").alias("doc"), F.col("component").alias("cluster"))
+        return staged(members.join(found, "doc", "left").withColumn("cluster", F.coalesce("cluster", "doc")), "simhash-clusters")
+
+    def links(self, members: DataFrame) -> DataFrame:
+        total = members.count()
+        placed = staged(self.dealt(members, "part", total), "simhash-parts")
+        found = self.solved(placed.select("doc", F.xxhash64("component", "part").alias("group"), F.col("doc").alias("cluster")), "simhash-alike")
+        divided = placed.where("part_of > 1")
+        if divided.isEmpty():
+            return found
+        inside = self.clustered(divided, found)
+        heads = self.dealt(inside.where("doc = cluster").select("doc", "component", "size"), "lot", total)
+        met = self.solved(heads.select("doc", F.xxhash64("component", "lot").alias("group"), F.col("doc").alias("cluster")), "simhash-heads")
+        found = found.unionByName(met)
+        inside = self.clustered(divided, found)
+        sizes = inside.groupBy("component", "cluster").count()
+        largest = sizes.groupBy("component").agg(F.max(F.struct("count", "cluster"))["cluster"].alias("largest"), F.sum("count").alias("n"))
+        apart = hot_join(inside, largest, "component", "n", total).where("cluster <> largest").select("doc", "component", "size", "cluster", "part_of")
+        lots = staged(self.dealt(apart, "lot", total), "simhash-apart")
+        every = lots.groupBy("component").agg(F.max("lot_of").alias("lot_of"))
+        to_lots = inside.join(every, "component").select("doc", "cluster", "component", "part", F.explode(F.sequence(F.lit(0), F.col("lot_of") - 1)).alias("lot"))
+        to_parts = lots.select("doc", "cluster", "component", F.explode(F.sequence(F.lit(0), F.col("part_of") - 1)).alias("part"), "lot")
+        both = to_lots.unionByName(to_parts).select("doc", "cluster", F.xxhash64("component", "part", "lot").alias("group")).distinct()
+        return found.unionByName(self.solved(both, "simhash-rest"))
+
+
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", budget: int = NET_BITS, least: float = ALIKE, width: int = ALIKE_WIDTH) -> DataFrame:
     """``docs`` without near-copies, with their own columns.
 
@@ -391,22 +471,14 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", budget
     connected component of such links the document of the smallest key stays. Texts of the same words are one text first;
     the others are compared if a candidate link or a chain of them joins them, all with all. Null and empty texts have one
     and the same shingle. Of rows with the same key all stay or go. Rows with a null key stay.
-
-    A component of candidates whose texts exceed LOT is divided into parts, and every two parts meet in a task of their own.
     """
     sketches = staged(_sketches(docs, key, text, width), "simhash-sketches")
-    classes = staged(sketches.groupBy("same").agg(F.min("doc").alias("doc"), *(F.first(c).alias(c) for c in sketches.columns if c not in ("doc", "same"))), "simhash-texts")
-    copies = sketches.select("doc", "same").join(classes.select("same", F.col("doc").alias("first")), "same").where("doc <> first")
-    copies = copies.select(F.col("doc").alias("a"), F.col("first").alias("b")).distinct()
-    found = connected_components(_candidates(classes, budget), "a", "b")
-    members = staged(classes.groupBy("doc").agg(F.sum(F.col("chars") + ROW).alias("size")).join(found, F.col("doc") == F.col("node")), "simhash-members")
-    lots = members.groupBy("component").agg(F.ceil(F.sum("size") / LOT).cast("int").alias("lots"))
-    own, other = F.pmod(F.xxhash64("doc"), F.col("lots")).cast("int"), F.col("other")
-    groups = members.join(lots, "component").withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, lots - 1)"))).where("lots = 1 or own <> other")
-    groups = groups.select(F.col("doc").alias("key"), F.xxhash64("component", F.least("own", other), F.greatest("own", other)).alias("group"))
-    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(groups, "key").select("group", "key", "text")
-    kind = docs.schema[key].dataType.simpleString()
-    alike = texts.repartition("group").sortWithinPartitions("group").mapInArrow(_verified(least, width), f"a {kind}, b {kind}")
-    links = staged(alike.unionByName(copies).distinct(), "simhash-alike")
+    of_text = [F.first(c).alias(c) for c in sketches.columns if c not in ("doc", "same")]
+    classes = staged(sketches.groupBy("same").agg(F.min("doc").alias("doc"), F.count("*").alias("n"), *of_text), "simhash-texts")
+    copies = hot_join(sketches.select("doc", "same"), classes.select("same", "n", F.col("doc").alias("first")), "same", "n", sketches.count())
+    copies = copies.where("doc <> first").select(F.col("doc").alias("a"), F.col("first").alias("b"))
+    found = connected_components(_candidates(classes, budget), "a", "b").withColumnRenamed("node", "doc")
+    members = staged(classes.groupBy("doc").agg(F.sum(F.col("chars") + ROW).alias("size")).join(found, "doc"), "simhash-members")
+    links = _Verifier(docs, key, text, least, width).links(members).unionByName(copies)
     gone = staged(connected_components(links, "a", "b").where("node <> component").select(F.col("node").alias(key)), "simhash-copies")
     return docs.join(gone, key, "left_anti").select(*docs.columns)

@@ -9,7 +9,7 @@ Edges are read from the whole page: ``<link rel=canonical href=...>`` and ``<met
 resolved against the page's own URL. Two URLs are one node if they are equal without scheme and fragment.
 
 A null URL, or one without ``://``, has an empty host and path, no rule and no aliases; it is allowed. Repeated rows are
-judged alike. Everything is a column expression; a hub of many aliases is handled in ``components``.
+judged alike. Everything is a column expression; a hub of many aliases is handled by the library.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filamenta.llm.components import connected_components
+from filamenta.operators.graph import connected_components
 from filamenta.session import staged
 
 #: The rules of the query, as (verdict, host, path).

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from filamenta.llm import simhash
-from filamenta.llm.components import connected_components
+from filamenta.operators.graph import connected_components
 
 
 def brute_components(links, nodes):
@@ -127,7 +127,7 @@ def test_alike_pairs_connect_what_brute_force_connects():
         assert brute_components(simhash.alike_pairs(sets, 0.8), range(n)) == brute_components(alike, range(n))
 
 
-@pytest.mark.parametrize("lot", [8_000_000, 9000])
+@pytest.mark.parametrize("lot", [4_000_000, 9000])
 def test_one_of_each_component_of_verified_links_stays(spark, monkeypatch, lot):
     monkeypatch.setattr(simhash, "LOT", lot)  # the small one divides the group into several parts
     rng = random.Random(2)
