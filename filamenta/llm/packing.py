@@ -24,13 +24,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from filamenta.llm.memory import give_back
 from filamenta.session import staged
 
 LENGTH, END = 4096, 1
 SHARD = 4096
 REPACK = 0.97
-CACHED_WORDS = 1_000_000
-LOT_BYTES = 1 << 22  # of texts whose words are looked up at once
+CACHED_WORDS = 200_000
+LOT_BYTES = 1 << 20  # of texts whose words are looked up at once
 
 
 class Encoder:
@@ -156,6 +157,8 @@ def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", length: int =
             if ids:
                 columns, names = [*columns, pa.array(part, pa.binary())], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names)
+        encode.known.clear()  # the worker lives on, with other stages' tasks
+        give_back()
 
     kind = docs.schema[key].dataType.simpleString()
     out = docs.select(key, text).mapInArrow(run, f"key {kind}, piece int, start long, length long, ids_crc32 long{', ids binary' if ids else ''}")

@@ -208,12 +208,13 @@ def secret_spans(df: DataFrame, text: str = "text") -> DataFrame:
 def redacted(df: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """``df`` with every span of ``text`` replaced by ``mask``; overlapping spans become one. Rows and columns are kept.
 
-    The scan is staged, as both the levels and the masking need it.
+    The texts are scanned for the levels and again for the masking, which takes less memory and disk than to keep the
+    candidates beside whole texts.
     """
     columns = [F.col(f"`{c}`") for c in df.columns]
     rows = df.select(F.struct(*columns).alias("row"), F.col(f"`{text}`").alias("text"))
-    found = staged(judged(with_matches(rows)), "secret-candidates")
-    out = decided(found, rejection_levels(found))
+    found = judged(with_matches(rows))
+    out = decided(found, rejection_levels(found.select("loose")))
     t = F.col("text")
 
     def merged(acc: Column, x: Column) -> Column:

@@ -27,16 +27,19 @@ import pickle
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FIT_DOCS = 4000
+from filamenta.llm.memory import give_back
+
+FIT_DOCS = 2000
 WINDOWS = (1, 4, 32)
 FEATURES = 2 * (1 + len(WINDOWS))
 LOT_BYTES = 1 << 22  # of texts whose words are coded at once
+LOT_WORDS = 1 << 18  # that are scored at once, or one longer text
+MIX = np.int64(-7046029254386353131)  # an odd number; products wrap
 NO_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -104,53 +107,96 @@ class Discounted:
         return np.maximum(_counts(self.pairs, self.n, pairs) - self.d, 0) / np.maximum(self.seen[v], 1) + self.left[v] * below
 
 
+def _parts(word: np.ndarray, ends: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = np.diff(ends, prepend=0)
+    return word[np.repeat(keep, n)], np.cumsum(n[keep])
+
+
+def _pair_counts(word: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct pairs v * size + w of the texts' words, and after how many different words each occurs."""
+    first = np.r_[0, ends[:-1]][np.diff(ends, prepend=0) > 0]
+    pair = np.empty(len(word), np.int64)
+    pair[1:] = word[:-1]
+    pair[first] = size
+    pair *= size
+    pair += word
+    triple = np.empty(len(word), np.int64)  # a pair's occurrences after the same pair are one: the mixed number tells them apart
+    triple[1:] = pair[:-1]
+    triple[first] = -1
+    triple *= MIX
+    triple ^= triple >> 29
+    triple *= MIX
+    triple += word
+    _, one = np.unique(triple, return_index=True)
+    del triple
+    pair = pair[one]
+    del one
+    pair, n = np.unique(pair, return_counts=True)
+    return pair, n.astype(np.int32)
+
+
 class Models:
     """Log-likelihood ratios, toxic against ordinary: of words after words of no known pair, and of known pairs."""
 
     def __init__(self, word: np.ndarray, ends: np.ndarray, toxic: np.ndarray, names: np.ndarray):
-        """word: numbers of all texts' words; names: the hashes of the numbers 0, 1, ..."""
+        """word: numbers of all texts' words; names: the sorted hashes of the numbers 0, 1, ..."""
         size = len(names)
-        start = np.zeros(len(word), bool)
-        first = np.r_[0, ends[:-1]][np.diff(ends, prepend=0) > 0]
-        start[first] = True
-        before = np.where(start, size, np.r_[0, word[:-1]]) if len(word) else word
-        side = np.repeat(toxic, np.diff(ends, prepend=0))
-        pair = before * size + word
-        _, number = np.unique(pair, return_inverse=True)
-        earlier = np.where(start, -1, np.r_[0, number[:-1]]) if len(word) else word  # the pair that ends where this one begins
-        counted = []
-        for c in (0, 1):
-            _, one = np.unique((earlier * size + word)[side == c], return_index=True)
-            counted.append(np.unique(pair[side == c][one], return_counts=True))
+        counted = [_pair_counts(*_parts(word, ends, toxic == c), size) for c in (0, 1)]
         follow = [np.bincount(k % size, minlength=size).astype(float) for k, _ in counted]  # continuation counts of words
         # what both classes share counts classes, not occurrences: an expression of one class weighs 1, of both 2
         below = _level(sum((f > 0).astype(float) for f in follow), np.full(size, 1 / (size + 1)), 1 / (size + 1))
         (ordinary, ordinary_other), (mean, mean_other) = (_level(f, *below) for f in follow)
+        del follow, below
         both, kinds = np.unique(np.concatenate([k for k, _ in counted]), return_counts=True)
-        shared = Discounted(both, kinds.astype(float), size)
-        sides = [Discounted(k, n.astype(float), size) for k, n in counted]
-        w = both % size
-        ratio = [np.log(side.of(both, shared.of(both, p[w]))) for side, p in zip(sides, (ordinary, mean), strict=True)]
-        self.order = np.argsort(names)
-        self.names = names[self.order]
-        self.size = size
+        shared = Discounted(both, kinds.astype(np.int8), size)
+        sides = [Discounted(k, n, size) for k, n in counted]
+        self.pairs, self.ratio = both, np.empty(len(both), np.float32)
+        for at in range(0, len(both), LOT_WORDS):
+            part = both[at : at + LOT_WORDS]
+            logs = [np.log(side.of(part, shared.of(part, p[part % size]))) for side, p in zip(sides, (ordinary, mean), strict=True)]
+            self.ratio[at : at + LOT_WORDS] = logs[1] - logs[0]
+        self.names, self.size = names, size
         used = np.zeros(size, bool)
-        used[np.unique(word)] = True
+        used[word] = True
         unknown = float(np.log(mean_other) - np.log(ordinary_other))
         self.words = np.r_[np.where(used, np.log(mean) - np.log(ordinary), unknown), unknown].astype(np.float32)
         self.after = np.r_[np.log(sides[1].left) - np.log(sides[0].left), 0.0].astype(np.float32)  # start is number size, an unknown word size + 1
-        self.pairs, self.ratio = both, (ratio[1] - ratio[0]).astype(np.float32)
+
+    def __getstate__(self) -> dict:
+        """Sorted numbers as their differences and ratios to three digits, as the model travels by the driver."""
+        state = dict(self.__dict__)
+        for name in ("names", "pairs"):
+            state[name] = np.diff(state[name], prepend=state[name].dtype.type(0)).view(np.uint8).reshape(-1, 8).T.copy()
+        state["ratio"] = self.ratio.astype(np.float16)
+        return state
+
+    def __setstate__(self, state: dict) -> None:
+        for name, kind in (("names", np.uint64), ("pairs", np.int64)):
+            state[name] = np.cumsum(np.ascontiguousarray(state[name].T).view(kind).reshape(-1), dtype=kind)
+        state["ratio"] = state["ratio"].astype(np.float32)
+        self.__dict__.update(state)
 
     def numbers(self, names: np.ndarray) -> np.ndarray:
         """The numbers of hashed words, ``size`` for unknown ones."""
         at = np.minimum(np.searchsorted(self.names, names), self.size - 1)
-        return np.where(self.names[at] == names, self.order[at], self.size)
+        return np.where(self.names[at] == names, at, self.size)
 
     def evidence(self, word: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Per text, for either order, the mean ratio over its words, and over the strongest stretch of each of WINDOWS; zeros without words."""
+        out = np.zeros((len(ends), FEATURES))
+        first = 0
+        while first < len(ends):
+            at = ends[first - 1] if first else 0
+            stop = max(first + 1, int(np.searchsorted(ends, at + LOT_WORDS, "right")))
+            out[first:stop] = self._evidence(word[at : ends[stop - 1]], ends[first:stop] - at)
+            first = stop
+        return out
+
+    def _evidence(self, word: np.ndarray, ends: np.ndarray) -> np.ndarray:
         out = np.zeros((len(ends), FEATURES))
         if not len(word):
             return out
+        word = word.astype(np.int64)
         begin = np.r_[0, ends[:-1]]
         held = ends > begin
         before = np.where(np.r_[0, word[:-1]] == self.size, self.size + 1, np.r_[0, word[:-1]])
@@ -196,20 +242,27 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return beta
 
 
-def _parts(word: np.ndarray, ends: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n = np.diff(ends, prepend=0)
-    return word[np.repeat(keep, n)], np.cumsum(n[keep])
+def hashed_words(texts: pa.Array) -> list[np.ndarray]:
+    """Per text the hashes of its words."""
+    out: list[np.ndarray] = []
+    for lot in lots(texts):
+        names, word, ends = coded(lot)
+        out += np.split(hashes(names)[word], ends[:-1])
+    return out
 
 
-def fit(texts: pa.Array, toxic: list[int], shares: tuple[float, float]) -> dict:
-    """Models and curve. shares: labelled documents for each sampled one, of ordinary and of toxic documents."""
+def fit(docs: list[np.ndarray], toxic: list[int], shares: tuple[float, float]) -> dict:
+    """Models and curve from the texts' hashed words. shares: labelled documents for each sampled one, of ordinary and of toxic documents."""
     y = np.array(toxic, np.int64)
-    names, word, ends = coded(texts)
-    if min((y == 0).sum(), (y == 1).sum()) < 4 or not names:
+    ends = np.cumsum(np.array([len(d) for d in docs], np.int64))
+    if min((y == 0).sum(), (y == 1).sum()) < 4 or not ends[-1]:
         n = [(y == c).sum() * shares[c] for c in (0, 1)]
         return {"models": None, "curve": None, "prior": float((n[1] + 0.5) / (sum(n) + 2))}
-    named = hashes(names)
-    del names
+    words = np.concatenate(docs)
+    docs.clear()
+    named = np.unique(words)
+    word = np.searchsorted(named, words).astype(np.int32)
+    del words
     fold = np.zeros(len(y), np.int64)
     for c in (0, 1):
         fold[np.flatnonzero(y == c)[1::2]] = 1
@@ -226,6 +279,12 @@ def fit(texts: pa.Array, toxic: list[int], shares: tuple[float, float]) -> dict:
     return {"models": Models(word, ends, y, named), "curve": _logistic(x, y, np.array(shares)[y]), "prior": None}
 
 
+def pack(model: dict) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=6).compress(pickle.dumps(model, protocol=5))
+
+
 def scores(model: dict, texts: pa.Array) -> np.ndarray:
     """The scores of texts."""
     if model["models"] is None:
@@ -253,13 +312,22 @@ def fitted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     rows = rows.groupBy("h", "key", "y").agg(F.max("text").alias("text")).select("h", "key", "text", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        table = pa.Table.from_batches(held).sort_by([("h", "ascending"), ("key", "ascending")]) if held else None
-        model = fit(table["text"].combine_chunks(), table["y"].to_pylist(), shares) if table else fit(pa.array([], pa.string()), [], shares)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model, protocol=5)], pa.binary())], ["model"])
+        give_back()
+        docs, keys, toxic = [], [], []
+        for batch in batches:
+            docs += hashed_words(batch.column(2))
+            keys += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            toxic += batch.column(3).to_pylist()
+        order = sorted(range(len(keys)), key=keys.__getitem__)
+        docs = [docs[i] for i in order]
+        model = fit(docs, [toxic[i] for i in order], shares)
+        packed = pack(model)
+        del model, docs
+        give_back()
+        yield pa.RecordBatch.from_arrays([pa.array([packed], pa.binary())], ["model"])
 
     made = rows.repartition(1).mapInArrow(run, "model binary").collect()
-    return bytes(made[0]["model"]) if made else pickle.dumps(fit(pa.array([], pa.string()), [], (0.0, 0.0)))
+    return bytes(made[0]["model"]) if made else pack(fit([], [], (0.0, 0.0)))
 
 
 _MODELS: dict[int, dict] = {}
@@ -270,7 +338,9 @@ def unpacked(model: bytes) -> dict:
     name = hash(model)
     if name not in _MODELS:
         _MODELS.clear()
-        _MODELS[name] = pickle.loads(model)
+        import zstandard
+
+        _MODELS[name] = pickle.loads(zstandard.ZstdDecompressor().decompress(model))
     return _MODELS[name]
 
 
@@ -278,13 +348,16 @@ def scored(docs: DataFrame, model: bytes, text: str = "text", name: str = "score
     """``docs`` with a double column ``name``; it replaces a column of that name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = unpacked(shared.value)
         for t in texts:
-            yield pd.Series(scores(own, pa.array(t, pa.string(), from_pandas=True)), dtype="float64")
+            yield pa.array(scores(own, t), pa.float64())
+        del own
+        _MODELS.clear()  # the worker lives on, with other stages' tasks
+        give_back()
 
-    run.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}  # as types, not as their names
-    return docs.withColumn(name, F.pandas_udf(run, "double")(F.col(text)))
+    run.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}  # as types, not as their names
+    return docs.withColumn(name, F.arrow_udf(run, "double")(F.col(text)))
 
 
 def without_toxic(docs: DataFrame, model: bytes, text: str = "text", least: float = 0.5) -> DataFrame:
