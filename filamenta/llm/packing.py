@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import string
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,7 +30,7 @@ from filamenta.session import staged
 LENGTH, END = 4096, 1
 SHARD = 4096
 REPACK = 0.97
-CACHED_WORDS = 200_000
+CACHED_WORDS = 300_000
 LOT_BYTES = 1 << 20  # of texts whose words are looked up at once
 
 
@@ -50,6 +50,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.older: dict[bytes, bytes] = {}  # words of the lots before, which go if they are not asked for again
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith(self.WORD_END)]] = True
 
@@ -75,11 +76,15 @@ class Encoder:
 
     def _lookup(self, words: list[bytes]) -> list[bytes]:
         """The ids of distinct words."""
-        known = self.known
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > CACHED_WORDS:
-            known.clear()
-            new = words
+        if len(self.known) + len(words) > CACHED_WORDS // 2:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+
+        def lacking(asked: Iterable[bytes]) -> list[bytes]:
+            known.update({w: older[w] for w in asked if w in older and w not in known})
+            return [w for w in asked if w not in known]
+
+        new = lacking(words)
         parts, needed = {}, set()
         for w in new:
             stem = w.rstrip(self.MARKS)
@@ -89,11 +94,14 @@ class Encoder:
                 needed.add(w[len(stem) :])
             else:
                 needed.add(w)
-        self._learn([w for w in needed if w not in known])
+        self._learn(lacking(needed))
         for w, stem in parts.items():
             known[w] = known[stem] + known[w[len(stem) :]]
         return [known[w] for w in words]
 
+    def forget(self) -> None:
+        self.known, self.older = {}, {}
+
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, one after the other; where each text's ids end). Names of special tokens are read as they are written."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
@@ -157,7 +165,7 @@ def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", length: int =
             if ids:
                 columns, names = [*columns, pa.array(part, pa.binary())], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names)
-        encode.known.clear()  # the worker lives on, with other stages' tasks
+        encode.forget()  # the worker lives on, with other stages' tasks
         give_back()
 
     kind = docs.schema[key].dataType.simpleString()
