@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from filamenta.functions import geometry as g
 from filamenta.operators import segments as sg
 
+#: Fixed value: correlations this close to 1 count as straight.
+STRAIGHT = 1e-12
+
 
 def chords(samples: DataFrame) -> DataFrame:
     """(fiber_id, k, tx, ty, tz): unit chords from sample k to k + 1; null where both coincide."""
@@ -52,17 +55,19 @@ def lag_steps(most: int, count: int) -> list[int]:
 
 
 def persistence(correlation: DataFrame, spacing: float, least: float = 0.05) -> DataFrame:
-    """Persistence length: least squares of ln C = -s / L through the origin over the lags before C first falls to ``least``.
+    """Persistence length L of a correlation that decays as exp(-s / L), fitted to its logarithm over the lags before it first is below ``least``.
 
-    The curve has one row per lag, so its window over all rows stays small.
+    Values that are 1 but for rounding have no decay, and add to the lags' squares alone; without any decay there is no
+    length. The curve has one row per lag, so its window over all rows stays small.
     """
     from pyspark.sql import Window
 
     c = correlation.where("correlation is not null")
-    low = F.max(F.when(F.col("correlation") <= least, 1).otherwise(0)).over(Window.orderBy("lag"))
+    low = F.max(F.when(F.col("correlation") < least, 1).otherwise(0)).over(Window.orderBy("lag"))
     s = F.col("lag") * spacing
     kept = c.withColumn("low", low).where("low = 0")
-    return kept.agg((-g.ratio(F.sum(s * s), F.sum(s * F.ln("correlation")))).alias("persistence_length"))
+    decay = F.sum(F.when(F.col("correlation") < 1 - STRAIGHT, s * F.ln("correlation")))
+    return kept.agg(F.when(decay < 0, -F.sum(s * s) / decay).alias("persistence_length"))
 
 
 def decay_length(correlation: DataFrame, spacing: float) -> DataFrame:

@@ -93,7 +93,7 @@ def tangent_correlation(spark, sf_dir):
     return rounded(shape.tangent_correlation(sg.resampled(ad.vertices(spark, sf_dir), STEP), LAGS))
 
 
-@query(with_views(_CORRELATION + f", k AS (SELECT *, max(CASE WHEN correlation <= 0.05 THEN 1 ELSE 0 END) OVER (ORDER BY lag) AS low FROM co) SELECT round(-sum(lag * {STEP} * lag * {STEP}) / sum(lag * {STEP} * ln(correlation)), 4) AS persistence_length FROM k WHERE low = 0", "arcs"))
+@query(with_views(_CORRELATION + f", k AS (SELECT *, max(CASE WHEN correlation < 0.05 THEN 1 ELSE 0 END) OVER (ORDER BY lag) AS low FROM co), f AS (SELECT sum(lag * {STEP} * lag * {STEP}) AS n, sum(lag * {STEP} * ln(correlation)) FILTER (correlation < 1 - 1e-12) AS d FROM k WHERE low = 0) SELECT CASE WHEN d < 0 THEN round(-n / d, 4) END AS persistence_length FROM f", "arcs"))
 def persistence_length(spark, sf_dir):
     c = shape.tangent_correlation(sg.resampled(ad.vertices(spark, sf_dir), STEP), LAGS)
     return rounded(shape.persistence(c, STEP), 4)

@@ -197,3 +197,11 @@ def test_streaming_lengths(spark, tmp_path):
     q = running_lengths(stream).writeStream.outputMode("update").format("memory").queryName("lengths").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [(r.vertices, r.length) for r in spark.table("lengths").collect()] == [(5, 4.0)]
+
+
+def test_persistence_of_straight_and_bent_chains(spark):
+    curve = lambda values: spark.createDataFrame(list(enumerate(values, 1)), "lag int, correlation double")
+    assert shape.persistence(curve([1.0, 1.0000000000000002, 1.0]), 0.5).first()[0] is None
+    assert math.isclose(shape.persistence(curve([math.exp(-k / 4) for k in range(1, 9)]), 1.0).first()[0], 4.0)
+    bent = shape.persistence(curve([1.0, math.exp(-1), 0.05, 0.01, 0.5]), 1.0).first()[0]
+    assert math.isclose(bent, 14 / (2 + 3 * -math.log(0.05)))
