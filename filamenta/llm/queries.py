@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filamenta.llm import cover_tree, lsh_forest, mixing, ngram_trie, packing, secrets, simhash, toxicity, urls, wrappers
+from filamenta.llm import cover_tree, lsh_forest, mixing, ngram_trie, packing, secrets, simhash, threshold_search, toxicity, urls, wrappers
 from filamenta.session import table
 
 
@@ -68,6 +68,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_report(table(spark, sf_dir, "documents"))
 
 
+def op11_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty highest-scoring documents for every benchmark item."""
+    return threshold_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity,
         op9_swap_packing,
         op10_secret_scan,
+        op11_threshold_search,
     )
 }
 
@@ -135,7 +141,23 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+_TERMS = r"regexp_extract_all(translate(text, '{up}', '{low}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')".replace("{up}", urls.UPPER).replace("{low}", urls.LOWER)
+_LEXICAL_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS t FROM documents),
+one AS (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM d),
+tf AS (SELECT r, term, any_value(doc_id) AS doc_id, any_value(n) AS n, count(*) AS tf FROM one GROUP BY r, term),
+whole AS (SELECT count(*) AS docs, CAST(sum(len(t)) AS BIGINT) AS l FROM d WHERE len(t) > 0),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+df AS (SELECT term, count(*) AS df FROM tf WHERE term IN (SELECT term FROM q) GROUP BY term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS w FROM df, whole),
+x AS (SELECT r, doc_id, term, (1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // l)) AS impact FROM tf, whole WHERE term IN (SELECT term FROM q)),
+s AS (SELECT item_id, r, any_value(doc_id) AS doc_id, CAST(sum(w * impact) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN x USING (term) GROUP BY item_id, r),
+o AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 50
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_threshold_search": _LEXICAL_SQL,
     "op2_cover_tree_top_k": _TOP_K_SQL,
     "op5_url_filter": _URL_SQL.replace("{rules}", _RULES_SQL).replace("{up}", urls.UPPER).replace("{low}", urls.LOWER).replace("\\\\", "\\"),
 }
