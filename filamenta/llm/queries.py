@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filamenta.llm import cover_tree, lsh_forest, mixing, ngram_trie, packing, secrets, simhash, threshold_search, toxicity, urls, wrappers
+from filamenta.llm import cover_tree, lsh_forest, mixing, ngram_trie, packing, repair, secrets, simhash, threshold_search, toxicity, urls, wrappers
 from filamenta.session import table
 
 
@@ -73,6 +73,25 @@ def op11_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threshold_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 50)
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """The faults that the repair query plants, by the row's own number: a turn dropped, emptied, cut, repeated, or given to the user."""
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    way = F.crc32(F.concat(said("conv_id"), F.lit(":"), said("turn")).cast("binary")) % 20
+    r = rows.select("conv_id", "turn", said("role").alias("role"), said("text").alias("text"), way.alias("way")).where("way <> 0")
+    r = r.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.when(F.col("way") == 3, 2).otherwise(1))))
+    text = F.when(F.col("way") == 1, "").when(F.col("way") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    return r.select("conv_id", "turn", F.when(F.col("way") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, least edits and the digest of the repaired turns of every damaged conversation."""
+    rows = table(spark, sf_dir, "conversations")
+    found = repair.audited(damaged(rows)).withColumnRenamed("conv_id", "id")
+    every = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("id")), "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -87,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_swap_packing,
         op10_secret_scan,
         op11_threshold_search,
+        op12_turn_repair,
     )
 }
 
@@ -156,7 +176,35 @@ o AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY scor
 SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 50
 """
 
+_WS = "[^\\x20\\x09-\\x0D]"
+_REPAIR_SQL = f"""
+WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+h AS (SELECT *, xor(list_reduce(list_transform(string_split(k, ''), lambda c: CAST(ord(c) AS UBIGINT)),
+  lambda x, b: list_reduce(range(8), lambda y, i: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384::UBIGINT) ELSE y >> 1 END, xor(x, b)), 4294967295::UBIGINT), 4294967295::UBIGINT) % 20 AS way FROM o),
+d AS (SELECT conv_id, turn, CASE WHEN way = 4 THEN 'user' ELSE role END AS role, CASE way WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE way WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE way <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, NOT regexp_matches(text, '{_WS}') AS blank FROM d),
+f AS (SELECT *, NOT blank AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS dup, left(role, 1) AS x, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM n),
+g AS (SELECT *, NOT blank AND NOT dup AND NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') AS cut FROM f),
+sums AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate, count(*) FILTER (cut) AS truncated,
+  count(*) FILTER (before IS NOT NULL AND before || x NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS rows FROM g GROUP BY conv_id),
+put(q, to_q, cost, letters, said) AS (VALUES (0, 0, 0, '', []::VARCHAR[]), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []), (0, 2, 2, 'I', ['user:']), (1, 2, 2, 'I', ['user:']), (2, 3, 2, 'I', ['assistant:']), (3, 2, 2, 'I', ['user:']),
+  (0, 3, 4, 'II', ['user:', 'assistant:']), (1, 3, 4, 'II', ['user:', 'assistant:'])),
+step(q, x, to_q, letter, cost) AS (VALUES (0, 's', 1, 'K', 0), (0, 'u', 2, 'K', 0), (1, 'u', 2, 'K', 0), (3, 'u', 2, 'K', 0), (2, 'a', 3, 'K', 0), (0, NULL, 2, 'R', 2), (1, NULL, 2, 'R', 2), (3, NULL, 2, 'R', 2), (2, NULL, 3, 'R', 2), (0, NULL, 0, 'D', 3), (1, NULL, 1, 'D', 3), (2, NULL, 2, 'D', 3), (3, NULL, 3, 'D', 3)),
+reach(conv_id, i, q, best) AS (
+  SELECT conv_id, 0::BIGINT, 0, {{'cost': 0, 'audit': '', 'said': []::VARCHAR[]}} FROM sums
+  UNION ALL
+  SELECT g.conv_id, g.i, step.to_q, min({{'cost': reach.best.cost + put.cost + step.cost + CASE WHEN g.cut AND step.letter <> 'D' THEN 1 ELSE 0 END, 'audit': reach.best.audit || put.letters || step.letter,
+    'said': reach.best.said || put.said || CASE step.letter WHEN 'D' THEN [] WHEN 'K' THEN [g.role || ':' || g.text] ELSE [CASE step.to_q WHEN 2 THEN 'user:' ELSE 'assistant:' END || g.text] END}})
+  FROM reach JOIN g ON g.conv_id IS NOT DISTINCT FROM reach.conv_id AND g.i = reach.i + 1 JOIN put ON put.q = reach.q
+  JOIN step ON step.q = put.to_q AND (step.x IS NULL OR step.x = g.x) AND (step.letter = 'D' OR NOT (g.blank OR g.dup)) GROUP BY g.conv_id, g.i, step.to_q),
+ends AS (SELECT s.conv_id, min({{'cost': best.cost + put.cost, 'audit': best.audit || put.letters, 'said': best.said || put.said}}) AS best FROM sums s JOIN reach ON reach.conv_id IS NOT DISTINCT FROM s.conv_id AND reach.i = s.rows JOIN put ON put.q = reach.q AND put.to_q IN (0, 3) GROUP BY s.conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(best.cost, 0) AS BIGINT) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_turn_repair": _REPAIR_SQL,
     "op11_threshold_search": _LEXICAL_SQL,
     "op2_cover_tree_top_k": _TOP_K_SQL,
     "op5_url_filter": _URL_SQL.replace("{rules}", _RULES_SQL).replace("{up}", urls.UPPER).replace("{low}", urls.LOWER).replace("\\\\", "\\"),
