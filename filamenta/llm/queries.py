@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filamenta.llm import cover_tree, lsh_forest, mixing, ngram_trie, packing, repair, secrets, simhash, threshold_search, toxicity, urls, wrappers
+from filamenta.llm import adaptive_join, cover_tree, lsh_forest, mixing, ngram_trie, packing, repair, secrets, simhash, threshold_search, toxicity, urls, wrappers
 from filamenta.session import table
 
 
@@ -92,6 +92,11 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
 
 
+def op13_adaptive_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle count and component of every document, linked at a Jaccard similarity of 0.85."""
+    return adaptive_join.components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -107,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_secret_scan,
         op11_threshold_search,
         op12_turn_repair,
+        op13_adaptive_join,
     )
 }
 
@@ -203,7 +209,20 @@ SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
 """
 
+_JOIN_SQL = """
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, '{up}', '{low}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS s FROM w),
+t AS (SELECT r, unnest(s) AS x FROM s),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS met FROM t a JOIN t b ON a.x = b.x AND a.r < b.r GROUP BY a.r, b.r),
+e AS (SELECT a, b FROM p JOIN s x ON x.r = a JOIN s y ON y.r = b WHERE 100 * met >= 85 * (len(x.s) + len(y.s) - met)),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(r, o) AS (SELECT r, r FROM s UNION SELECT reach.r, l.b FROM reach JOIN l ON l.a = reach.o)
+SELECT s.doc_id, any_value(CAST(len(s.s) AS BIGINT)) AS n_shingles, min(o.doc_id) AS component_id FROM reach JOIN s USING (r) JOIN s o ON o.r = reach.o GROUP BY s.r, s.doc_id
+""".replace("{up}", urls.UPPER).replace("{low}", urls.LOWER).replace("\\\\", "\\")
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_adaptive_join": _JOIN_SQL,
     "op12_turn_repair": _REPAIR_SQL,
     "op11_threshold_search": _LEXICAL_SQL,
     "op2_cover_tree_top_k": _TOP_K_SQL,
