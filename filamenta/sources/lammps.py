@@ -1,16 +1,23 @@
-"""LAMMPS data files: a reader that splits the work by lines, and a writer.
+"""LAMMPS data files: a reader that deals a file's bytes to tasks, fibers from bonds, and a writer.
 
-Reading keeps only the header (a few lines) on the driver. Atom and bond rows are parsed as columns.
+Spark's text source splits a file into byte ranges; a line's place is its file, the range's first byte and its row there. The
+section keywords, a few lines, are found in a first pass, and with their places every line knows its section. Only these and
+the header's lines reach the driver. Atom and bond rows are parsed as columns. A folder of parts, as ``write_data`` makes, is
+read as one file in the order of the parts' names.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from filamenta.functions import geometry as g
+from filamenta.operators import matching
 from filamenta.operators.graph import connected_components
+from filamenta.operators.numbering import numbered
+from filamenta.session import staged
 
 #: Columns of an atom row by style: a fixed part of the file format.
 STYLES = {
@@ -23,7 +30,12 @@ STYLES = {
     "sphere": "id type diameter density x y z",
     "bpm/sphere": "id molecule type diameter density x y z",
 }
-SECTION = r"^\s*(Masses|Atoms|Bonds|Velocities|Angles|Dihedrals|Impropers|Pair Coeffs|Bond Coeffs|Ellipsoids)\b"
+#: Section keywords of the file format.
+SECTIONS = """Atoms|Bonds|Velocities|Masses|Angles|Dihedrals|Impropers|Ellipsoids|Lines|Triangles|Bodies|Atom Type Labels|Bond Type Labels|Angle Type Labels|
+Dihedral Type Labels|Improper Type Labels|Pair Coeffs|PairIJ Coeffs|Bond Coeffs|Angle Coeffs|Dihedral Coeffs|Improper Coeffs""".replace("\n", "").split("|")
+#: Without bonds, a sphere that is more diameters than this from the one before it begins a fiber of its own.
+UNBONDED_GAP = 1.5
+HEADER_LINES = 10_000
 
 
 class LammpsError(ValueError):
@@ -34,47 +46,198 @@ class LammpsError(ValueError):
         self.code = code
 
 
-def read_data(spark: SparkSession, path: str, style: str | None = None) -> tuple[DataFrame, DataFrame, dict]:
-    """(atoms, bonds, header) of one file. atoms: id, molecule, type, diameter, x, y, z, ix, iy, iz; bonds: id, type, a, b."""
-    text = spark.read.text(path, wholetext=True)
-    numbered = text.select(F.posexplode(F.split("value", "\n")).alias("n", "line")).withColumn("line", F.trim(F.regexp_replace("line", "#.*$", "")))
-    style_line = text.select(F.regexp_extract("value", r"(?m)^\s*Atoms[ \t]*#[ \t]*(\S+)", 1)).first()[0]
-    style = style or style_line or "bpm/sphere"
-    if style not in STYLES:
+def columns_of(style: str) -> list[str]:
+    """An atom row's columns. A hybrid's are id, type, x, y, z, and then what its styles add, each once."""
+    words = [w for w in style.split() if not re.fullmatch(r"[-+.\deE]+", w)]
+    hybrid = words[:1] == ["hybrid"]
+    names = words[1:] if hybrid else words
+    if not names or (len(names) > 1 and not hybrid) or any(n not in STYLES for n in names):
         raise LammpsError("unknown_style", style)
-    starts = [(r["n"], r["name"]) for r in numbered.where(F.col("line").rlike(SECTION)).select("n", F.regexp_extract("line", SECTION, 1).alias("name")).orderBy("n").collect()]
-    first = starts[0][0] if starts else 1 << 30
-    header: dict = {}
-    for r in numbered.where((F.col("n") < first) & (F.col("n") > 0) & (F.col("line") != "")).collect():
-        for axis in "xyz":
-            if m := re.match(rf"(\S+)\s+(\S+)\s+{axis}lo\s+{axis}hi$", r["line"]):
-                header[axis] = (float(m[1]), float(m[2]))
-        if m := re.match(r"(\d+)\s+(\w+( types)?)$", r["line"]):
-            header[m[2]] = int(m[1])
-        if (m := re.match(r"(\S+)\s+(\S+)\s+(\S+)\s+xy\s+xz\s+yz$", r["line"])) and any(float(x) for x in m.groups()):
-            raise LammpsError("tilted_box", r["line"])
+    out = ["id", "type", "x", "y", "z"] if hybrid else []
+    for n in names:
+        out += [c for c in STYLES[n].split() if c not in out]
+    return out
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(at, line, note): lines without comments, their place in the file, and the comment."""
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("r"))
+    cut = F.split("value", "#", 2)
+    return raw.select(F.struct("f", "b", "r").alias("at"), F.trim(F.regexp_replace(cut[0], r"[\s]+", " ")).alias("line"), F.trim(F.get(cut, F.lit(1))).alias("note"))
+
+
+def _place(at) -> Column:
+    return F.struct(F.lit(at["f"]).alias("f"), F.lit(at["b"]).cast("long").alias("b"), F.lit(at["r"]).cast("long").alias("r"))
+
+
+def _header(lines: list[str]) -> dict:
+    """Counts by name, and the box as x, y, z: (low, high)."""
+    out: dict = {}
+    for line in lines:
+        words = line.split()
+        if len(words) == 4 and words[2:] in ([f"{c}lo", f"{c}hi"] for c in "xyz"):
+            out[words[2][0]] = (float(words[0]), float(words[1]))
+        elif words[3:] == ["xy", "xz", "yz"]:
+            if any(float(w) for w in words[:3]):
+                raise LammpsError("tilted_box", line)
+        elif words and (words[-1] in ("avec", "bvec", "cvec") or words[-2:] == ["abc", "origin"]):
+            raise LammpsError("tilted_box", line)
+        elif words and words[0].isdigit():
+            out[" ".join(words[1:])] = int(words[0])
+    if missing := [c for c in "xyz" if c not in out]:
+        raise LammpsError("no_box", f"no {missing[0]}lo {missing[0]}hi line")
+    return out
+
+
+def read_data(spark: SparkSession, path: str, style: str | None = None) -> tuple[DataFrame, DataFrame, dict]:
+    """(atoms, bonds, header) of one file. atoms: id, molecule, type, diameter, x, y, z, ix, iy, iz; bonds: id, type, a, b.
+
+    ``style`` overrides the comment beside Atoms, without which bpm/sphere is read. A type that is a label is the label's
+    number. header has the counts, the box by axis, ``style``, and ``images``: whether atom rows have image flags.
+    """
+    lines = _lines(spark, path)
+    found = lines.where(F.col("line").isin(SECTIONS)).orderBy("at").collect()
+    starts = [(r["at"], r["line"], r["note"]) for r in found]
+    before = lines.where(F.col("line") != "")
+    before = before.where(F.col("at") < _place(starts[0][0])) if starts else before
+    top = before.orderBy("at").limit(HEADER_LINES).collect()
+    first = lines.orderBy("at").first()  # a title, whatever it says
+    header = _header([r["line"] for r in top if first is None or r["at"] != first["at"]])
 
     def section(name: str) -> DataFrame:
-        at = [n for n, s in starts if s == name]
+        at = [k for k, (_, n, _) in enumerate(starts) if n == name]
         if not at:
-            return numbered.limit(0)
-        stop = min([n for n, _ in starts if n > at[0]], default=1 << 30)
-        return numbered.where((F.col("n") > at[0]) & (F.col("n") < stop) & (F.col("line") != "")).withColumn("p", F.split("line", r"\s+"))
+            return lines.limit(0).withColumn("p", F.split("line", " "))
+        rows = lines.where((F.col("at") > _place(starts[at[0]][0])) & (F.col("line") != ""))
+        if at[0] + 1 < len(starts):
+            rows = rows.where(F.col("at") < _place(starts[at[0] + 1][0]))
+        return rows.withColumn("p", F.split("line", " "))
 
-    names = STYLES[style].split()
+    noted = next((note for _, n, note in starts if n == "Atoms" and note), "")
+    style = style or noted or "bpm/sphere"
+    names = columns_of(style)
     rows = section("Atoms")
-    if rows.where(~F.size("p").isin(len(names), len(names) + 3)).limit(1).count():
-        raise LammpsError("row_width", f"atoms of style {style} have {len(names)} or {len(names) + 3} columns")
+    widths = {r["w"]: r["count"] for r in rows.groupBy(F.size("p").alias("w")).count().collect()}
+    if bad := set(widths) - {len(names), len(names) + 3}:
+        raise LammpsError("row_width", f"{min(bad)} values, but atom style {style!r} has {len(names)} ({' '.join(names)}), or {len(names) + 3} with image flags")
+    if sum(widths.values()) != header.get("atoms", 0):
+        raise LammpsError("row_count", f"the header gives {header.get('atoms', 0)} atoms, but the Atoms section has {sum(widths.values())}")
+    labels = section("Atom Type Labels").select(F.element_at("p", 1).cast("int").alias("label_id"), F.expr("substring(line, locate(' ', line) + 1)").alias("label"))
     pick = lambda n: F.col("p")[names.index(n)] if n in names else F.lit(None)
-    atoms = rows.select(
-        pick("id").cast("long").alias("id"), pick("molecule").cast("long").alias("molecule"), pick("type").cast("int").alias("type"), pick("diameter").cast("double").alias("diameter"),
+    typed = rows.withColumn("kind", pick("type")).join(labels, F.col("kind") == F.col("label"), "left")
+    atoms = typed.select(
+        pick("id").cast("long").alias("id"), pick("molecule").cast("long").alias("molecule"), F.coalesce("label_id", F.col("kind").try_cast("int")).alias("type"), pick("diameter").cast("double").alias("diameter"),
         *[pick(c).cast("double").alias(c) for c in "xyz"],
         *[F.coalesce(F.get("p", F.lit(len(names) + k)).cast("int"), F.lit(0)).alias(f"i{c}") for k, c in enumerate("xyz")],
     )
     if atoms.groupBy("id").count().where("count > 1").limit(1).count():
         raise LammpsError("duplicate_atom", "an atom id occurs twice")
-    bonds = section("Bonds").select(*[F.col("p")[k].cast("long").alias(c) for k, c in enumerate(("id", "type", "a", "b"))])
-    return atoms, bonds, header
+    kinds = section("Bond Type Labels").select(F.element_at("p", 1).cast("int").alias("label_id"), F.expr("substring(line, locate(' ', line) + 1)").alias("label"))
+    links = section("Bonds")
+    if (n := links.count()) != header.get("bonds", 0):
+        raise LammpsError("row_count", f"the header gives {header.get('bonds', 0)} bonds, but the Bonds section has {n}")
+    typed = links.withColumn("kind", F.col("p")[1]).join(kinds, F.col("kind") == F.col("label"), "left")
+    bonds = typed.select(F.col("p")[0].cast("long").alias("id"), F.coalesce("label_id", F.col("kind").try_cast("int")).cast("long").alias("type"), F.col("p")[2].cast("long").alias("a"), F.col("p")[3].cast("long").alias("b"))
+    return atoms, bonds, header | {"style": style, "images": len(names) + 3 in widths}
+
+
+def periodic_axes(value) -> tuple[bool, bool, bool]:
+    """Three flags from axis letters ("xy"), an input script's boundary ("p p f"), one flag or three."""
+    if isinstance(value, str):
+        words = value.lower().split()
+        words = words[1:] if words[:1] == ["boundary"] else words
+        if len(words) == 3 and all(set(w) <= set("pfsm") for w in words):
+            return tuple(w == "p" for w in words)
+        if set("".join(words)) <= set("xyz"):
+            return tuple(c in "".join(words) for c in "xyz")
+        raise LammpsError("periodic", f"{value!r} names neither axes nor a boundary")
+    flags = (value,) * 3 if isinstance(value, bool) else tuple(bool(v) for v in value)
+    if len(flags) != 3:
+        raise LammpsError("periodic", "three flags are needed")
+    return flags
+
+
+def read_fibers(spark: SparkSession, path: str, style: str | None = None, diameter: float | dict[int, float] | None = None, bond_types: list[int] | None = None, periodic=True) -> tuple[DataFrame, DataFrame, DataFrame, dict]:
+    """(fibers, vertices, others, cell) of a data file.
+
+    fibers: fiber_id, type, diameter, atoms; vertices: fiber_id, seq, id, x, y, z, unbroken across periodic faces; others: id
+    and why an atom is in no fiber. A fiber is a chain of bonds (of ``bond_types``, where given) inside a molecule, named by
+    its smaller end; atoms that are bonded to more than the next one follow their ids. Without bonds, spheres of a molecule
+    that lie close follow their ids. The cell is the box, (low, high, periodic) by axis; walls move out to the spheres.
+    """
+    raw, bonds, header = read_data(spark, path, style)
+    flags = dict(zip("xyz", periodic_axes(periodic), strict=True))
+    if diameter is not None:
+        given = F.lit(float(diameter)) if not isinstance(diameter, dict) else F.create_map(*[x for k, v in diameter.items() for x in (F.lit(int(k)), F.lit(float(v)))])[F.col("type")]
+        raw = raw.withColumn("diameter", F.coalesce(given, "diameter"))
+    atoms = staged(raw, "lammps-atoms")
+    if not atoms.where("diameter is null").isEmpty():
+        raise LammpsError("no_diameter", "the atoms have no diameter; give one")
+    size = {c: header[c][1] - header[c][0] for c in "xyz"}
+
+    def step(a: Column, b: Column, c: str) -> Column:
+        d = b - a
+        return d - F.lit(size[c]) * F.rint(d / F.lit(size[c])) if flags[c] else d
+
+    if header.get("bonds", 0):
+        ends = atoms.select(F.col("id").alias("n"), F.col("molecule").alias("m"))
+        if not bonds.select(F.explode(F.array("a", "b")).alias("n")).join(ends, "n", "left_anti").isEmpty():
+            raise LammpsError("bad_bond", "a bond names an atom that is not there")
+        kept = bonds.where("a <> b") if bond_types is None else bonds.where(F.col("type").isin(bond_types)).where("a <> b")
+        pairs = kept.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = pairs.join(ends.select(F.col("n").alias("a"), "m"), "a").join(ends.select(F.col("n").alias("b"), F.col("m").alias("m2")), "b").where("m <=> m2").select("a", "b")
+        order, others = _bonded(atoms, staged(pairs, "lammps-links"))
+    else:
+        order, others = _unbonded(atoms, step)
+    rows = atoms.join(order, "id")
+    w = Window.partitionBy("fiber_id").orderBy("seq")
+    moved = rows.withColumns({f"d{c}": step(F.lag(c).over(w), F.col(c), c) for c in "xyz"})
+    if not moved.where("dx = 0 and dy = 0 and dz = 0").isEmpty():
+        raise LammpsError("same_point", "two atoms in a row of one fiber are at the same point")
+    start = {c: F.first(F.col(c) + (F.col(f"i{c}") * size[c] if flags[c] else 0.0)).over(w) for c in "xyz"}
+    line = moved.select("fiber_id", "seq", "id", "type", "diameter", *[(start[c] + F.sum(F.coalesce(f"d{c}", F.lit(0.0))).over(w)).alias(c) for c in "xyz"])
+    vertices = staged(line, "lammps-vertices")
+    fibers = vertices.groupBy("fiber_id").agg(F.min_by("type", "seq").alias("type"), F.min_by("diameter", "seq").alias("diameter"), F.count("*").alias("atoms"))
+    reach = atoms.agg(*[f for c in "xyz" for f in (F.min(F.col(c) - F.col("diameter") / 2).alias(f"low{c}"), F.max(F.col(c) + F.col("diameter") / 2).alias(f"high{c}"))]).first()
+    cell = {c: (*(header[c] if flags[c] or reach[f"low{c}"] is None else (min(header[c][0], reach[f"low{c}"]), max(header[c][1], reach[f"high{c}"]))), flags[c]) for c in "xyz"}
+    return fibers, vertices.select("fiber_id", "seq", "id", "x", "y", "z"), others, cell
+
+
+def _bonded(atoms: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, fiber_id, seq) along chains of bonds, and (id, why) of the other atoms."""
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    parts = numbered(connected_components(pairs, "a", "b"), ["component", "node"])
+    named = staged(parts.join(both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("degree")), "node"), "lammps-parts")
+    after = named.select((F.col("n") - 1).alias("n"), F.col("node").alias("b"), F.col("component").alias("c"))
+    apart = named.join(after, "n").where("component = c").join(pairs, (F.col("node") == pairs["a"]) & (after["b"] == pairs["b"]), "left_anti").select("component").distinct()
+    shape = named.groupBy("component").agg(F.max("degree").alias("most"), F.sum("degree").alias("ends"), F.count("*").alias("size"), F.min("n").alias("start"))
+    shape = shape.join(apart.withColumn("apart", F.lit(True)), "component", "left")
+    way = F.when((F.col("most") <= 2) & (F.col("ends") == 2 * (F.col("size") - 1)), "path").when(F.col("apart").isNull(), "ids").otherwise("branch")
+    kinds = staged(named.join(shape.select("component", "start", way.alias("way")), "component").select("node", "component", "way", (F.col("n") - F.col("start")).alias("seq")), "lammps-kinds")
+    paths = kinds.where("way = 'path'").select("node")
+    side = F.row_number().over(Window.partitionBy("a").orderBy("b")) - 1
+    sides = both.join(paths, F.col("a") == F.col("node"), "left_semi").withColumn("e", side)
+    links = sides.alias("p").join(sides.alias("q"), (F.col("p.a") == F.col("q.b")) & (F.col("p.b") == F.col("q.a"))).where("p.a < p.b").select(F.col("p.a").alias("a"), F.col("p.e").alias("ea"), F.col("q.a").alias("b"), F.col("q.e").alias("eb"))
+    chained = matching.chain_order(paths, links).select(F.col("node").alias("id"), F.col("chain").alias("fiber_id"), F.col("position").alias("seq"))
+    by_id = kinds.where("way = 'ids'").select(F.col("node").alias("id"), F.col("component").alias("fiber_id"), "seq")
+    order = staged(chained.unionByName(by_id), "lammps-order")
+    why = F.when(F.col("way") == "branch", "bonds branch or close a loop").otherwise("not bonded")
+    others = atoms.select("id").join(order.select("id"), "id", "left_anti").join(kinds.select(F.col("node").alias("id"), "way"), "id", "left").select("id", why.alias("why"))
+    return order, others
+
+
+def _unbonded(atoms: DataFrame, step) -> tuple[DataFrame, DataFrame]:
+    """The same from spheres of a molecule that lie close and follow one another by id."""
+    n = numbered(atoms.select("molecule", "id", "diameter", "x", "y", "z"), ["molecule", "id"])
+    last = n.select((F.col("n") + 1).alias("n"), F.col("molecule").alias("m"), F.col("id").alias("before"), F.col("diameter").alias("d"), *[F.col(c).alias(f"q{c}") for c in "xyz"])
+    gap = g.norm(tuple(step(F.col(f"q{c}"), F.col(c), c) for c in "xyz"))
+    close = n.join(last, "n").where(F.col("m").eqNullSafe(F.col("molecule")) & (gap <= UNBONDED_GAP * F.greatest("diameter", "d")))
+    links = close.select(F.col("before").alias("a"), F.lit(1).alias("ea"), F.col("id").alias("b"), F.lit(0).alias("eb"))
+    order = staged(matching.chain_order(atoms.select(F.col("id").alias("node")), staged(links, "lammps-links")), "lammps-order")
+    many = order.groupBy("chain").count().where("count > 1").select("chain")
+    kept = order.join(many, "chain", "left_semi").select(F.col("node").alias("id"), F.col("chain").alias("fiber_id"), F.col("position").alias("seq"))
+    others = order.join(many, "chain", "left_anti").select(F.col("node").alias("id"), F.lit("no sphere close enough").alias("why"))
+    return kept, others
 
 
 def chains(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
