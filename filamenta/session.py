@@ -24,6 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; one in the warehouse where that is unset, as in tests."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return (shared or spark.conf.get("spark.sql.warehouse.dir") + "/_stage").rstrip("/")
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there and survives lost executors.
 
@@ -31,9 +37,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     it; the warehouse where that is unset, as in tests.
     """
     spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    path = f"{(shared or spark.conf.get('spark.sql.warehouse.dir') + '/_stage').rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if not shared and urlparse(path).scheme in ("", "file"):
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if not spark.conf.get("spark.checkpoint.dir", None) and urlparse(path).scheme in ("", "file"):
         _OWN.append(urlparse(path).path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
