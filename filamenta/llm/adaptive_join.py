@@ -16,7 +16,8 @@ then what is apart from the largest cluster with every part, so that all pairs t
 In a task a posting list whose owners are connected with the document is not read again, so that thousands of near copies
 cost little more than one.
 
-Tokens are 56-bit hashes: two different shingles of a pair of documents of 1,000 words agree by chance once in 10^10 pairs.
+Documents are read twice, and again where a task is repeated: they come from files or a written table, in one order. Tokens
+are 56-bit hashes: two different shingles of a pair of documents of 1,000 words agree by chance once in 10^10 pairs.
 Null, empty and white-space texts have no token and link with nothing. Texts are whole, however long. Every row is a document
 of its own, also where keys repeat; a null key is never the smallest. Ties do not arise. An empty table gives an empty
 result. Columns other than the two named are not read.
@@ -260,7 +261,7 @@ def records(docs: DataFrame, light: DataFrame, width: int = WIDTH, percent: int
     sums = light.agg(F.sum("n"), F.count("n")).first()
     total, count = sums[0] or 0, sums[1]
     frequent = light.where("token is not null").groupBy("token").agg(F.sum("held").alias("held")).where(F.col("held") * HEAVY > count)
-    heavy = np.sort(np.array([r[0] for r in frequent.select("token").collect()], np.int64).view(np.uint64))  # at most 4 * HEAVY times a mean set
+    heavy = np.sort(np.array([r[0] for r in frequent.select("token").collect()], np.int64).view(np.uint64))  # fewer than HEAVY times a mean set
     buckets = max(8, -(-total // BUCKET))
     rows = docs.select("key", "text").mapInArrow(_scattered(width, buckets, heavy), _PACKET)
     counted = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_counted, _PACKET)
