@@ -13,7 +13,7 @@ from filamenta.plans.networks import _VOL, _volume
 from filamenta.plans.registry import query
 from filamenta.session import shared_folder, staged
 from filamenta.sources import adapters as ad
-from filamenta.sources import lammps, snapshots, tables
+from filamenta.sources import lammps, scans, snapshots, tables
 from filamenta.sources.adapters import with_views
 
 
@@ -96,3 +96,12 @@ def snapshot_volume(spark, sf_dir):
     root = _place(spark, "snapshot")
     snapshots.save_snapshot({"volume": rows}, root, "volume", 1)
     return rounded(snapshots.load_snapshot(spark, root, "volume")[0]["volume"])
+
+
+@query(with_views(_VOL + "SELECT z, y, x, round(v, 5) AS v FROM vol", "image"))
+def vti_volume(spark, sf_dir):
+    """The volume written as a VTI file and read again in slabs."""
+    rows, shape = _volume(spark, sf_dir)
+    path = _place(spark, "volume") + ".vti"
+    scans.write_vti(rows, path, shape, "Float32")
+    return rounded(scans.read_scan(spark, path, slab=1 << 14)[0], 5)

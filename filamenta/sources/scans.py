@@ -18,6 +18,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -123,9 +124,17 @@ def _meta(path: Path, head: bytes) -> Scan:
     return Scan(str(source), shape, order + kind, offset, tuple(_numbers(fields.get("ElementSpacing") or fields.get("ElementSize") or "")), tuple(_numbers(fields.get("Offset") or fields.get("Position") or "")))
 
 
+def _local(path: str) -> Path:
+    """The path on the mount; a URL of another store is refused."""
+    url = urlparse(path)
+    if url.scheme not in ("", "file"):
+        raise ScanError("place", f"{path} is not on a mount")
+    return Path(url.path)
+
+
 def describe(path: str, shape: str | None = None, dtype: str | None = None, offset: int = 0, array: str | None = None) -> Scan:
     """The scan in a file. Raw data need a ``shape`` ("z,y,x") and a ``dtype`` (as NumPy writes it)."""
-    file = Path(path.removeprefix("file://"))
+    file = _local(path)
     if not file.is_file():
         raise ScanError("missing", f"{file} is not a file")
     with open(file, "rb") as f:
@@ -189,7 +198,7 @@ class VtiWriter(DataSourceArrowWriter):
     """One array of cell data in a VTI file, each task's voxels written at their place."""
 
     def __init__(self, options: dict, overwrite: bool):
-        self.path = options["path"].removeprefix("file://")
+        self.path = str(_local(options["path"]))
         self.shape = tuple(int(v) for v in options.get("shape", "").split(",")) if options.get("shape") else ()
         self.kind = options.get("type", "Float32")
         if len(self.shape) != 3 or self.kind not in VTK_TYPES:
@@ -205,6 +214,7 @@ class VtiWriter(DataSourceArrowWriter):
         ).encode()
         size = nz * ny * nx * np.dtype(VTK_TYPES[self.kind]).itemsize
         self.head, self.tail = head + size.to_bytes(8, "little"), b"\n  </AppendedData>\n</VTKFile>\n"
+        os.makedirs(os.path.dirname(self.path) or ".", exist_ok=True)
         self.size, self.temporary = size, f"{self.path}.{uuid.uuid4().hex}.tmp"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:

@@ -67,6 +67,7 @@ def test_a_range_of_slices_is_read_alone(spark, tmp_path):
     [
         ("missing", "gone.npy", None, {}),
         ("format", "v.png", b"x", {}),
+        ("place", "s3://bucket/v.npy", None, {}),
         ("raw", "v.raw", b"x", {"shape": "1,1,1"}),
         ("size", "v.raw", b"xyz", {"shape": "1,1,4", "dtype": "u1"}),
         ("format", "v.npy", b"nothing", {}),
@@ -79,7 +80,7 @@ def test_refusals(spark, tmp_path, code, name, data, options):
     if data is not None:
         (tmp_path / name).write_bytes(data)
     with pytest.raises(scans.ScanError) as e:
-        scans.read_scan(spark, str(tmp_path / name), **options)
+        scans.read_scan(spark, name if "://" in name else str(tmp_path / name), **options)
     assert e.value.code == code
 
 
