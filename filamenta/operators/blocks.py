@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from filamenta.session import staged
+
 
 Shape = tuple[int, int, int]
 SIZE = 32
@@ -124,8 +126,11 @@ def mirrored(at: np.ndarray, n: int) -> np.ndarray:
     return np.where(k < n, k, 2 * n - 1 - k)
 
 
-def filtered(blocks: DataFrame, shape: Shape, halo: int, solve: Callable[[np.ndarray], np.ndarray], size: int = SIZE) -> DataFrame:
-    """Blocks of ``solve`` of each block with ``halo`` voxels around it: values of the block, one array or several."""
+def filtered(blocks: DataFrame, shape: Shape, halo: int, solve: Callable[[np.ndarray], np.ndarray], size: int = SIZE, mirror: bool = True) -> DataFrame:
+    """Blocks of ``solve`` of each block with ``halo`` voxels around it: values of the block, one array or several.
+
+    Beyond the volume's faces voxels are mirrored, or 0.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, parts in _runs(batches, 3):
@@ -136,7 +141,12 @@ def filtered(blocks: DataFrame, shape: Shape, halo: int, solve: Callable[[np.nda
                 for z0, z1, y0, y1, x0, x1, data in zip(*columns, strict=True):
                     held[z0 - low[0] : z1 - low[0], y0 - low[1] : y1 - low[1], x0 - low[2] : x1 - low[2]] = np.frombuffer(data).reshape(z1 - z0, y1 - y0, x1 - x0)
             for axis, ((lo, hi), n) in enumerate(zip(box, shape, strict=True)):
-                held = np.take(held, mirrored(np.arange(lo - halo, hi + halo), n) - low[axis], axis=axis)
+                if mirror:
+                    held = np.take(held, mirrored(np.arange(lo - halo, hi + halo), n) - low[axis], axis=axis)
+                else:
+                    gaps = [(0, 0)] * 3
+                    gaps[axis] = (max(0, halo - lo), max(0, hi + halo - n))
+                    held = np.pad(held, gaps)
             yield _batch([(*key, np.ascontiguousarray(solve(held), float).tobytes())])
 
     sent = blocks.select(*_KEYS, "data").mapInArrow(_slabs(shape, size, halo), "bz int, by int, bx int, z0 long, z1 long, y0 long, y1 long, x0 long, x1 long, data binary")
@@ -236,6 +246,46 @@ def directions(blocks: DataFrame, shape: Shape, sigma: float, points: DataFrame,
     return full.mapInArrow(run, f"id {points.schema['id'].dataType.simpleString()}, px double, py double, pz double, ax double, ay double, az double, tubularity double")
 
 
+def distance_transform(blocks: DataFrame, shape: Shape, size: int = SIZE) -> DataFrame:
+    """Blocks of each voxel's exact distance to the nearest voxel that is not 0; infinite where there is none.
+
+    A block sees the voxels up to a reach around it, which settles all distances up to the reach; while some are not settled
+    the reach doubles. So a volume costs what its deepest void needs, and nothing is passed along whole axes.
+    """
+
+    def within(reach: int) -> DataFrame:
+        def solve(held: np.ndarray) -> np.ndarray:
+            far = np.where(held != 0, 0.0, np.inf)
+            for axis in range(3):
+                n = far.shape[axis] - 2 * reach
+                least = np.full([*far.shape[:axis], n, *far.shape[axis + 1 :]], np.inf)
+                for k in range(2 * reach + 1):
+                    np.minimum(least, np.take(far, np.arange(k, k + n), axis=axis) + (k - reach) ** 2, out=least)
+                far = least
+            return np.sqrt(np.where(far <= reach * reach, far, np.inf))
+
+        return staged(filtered(blocks, shape, reach, solve, size, mirror=False), "blocks-distance")
+
+    def left(found: DataFrame) -> bool:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            open_ = sum(int(np.isinf(np.frombuffer(data)).any()) for batch in batches for data in batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([open_], pa.int64())], ["n"])
+
+        return bool(found.select("data").mapInArrow(run, "n long").agg(F.sum("n")).first()[0])
+
+    def bright(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = any(np.frombuffer(data).any() for batch in batches for data in batch.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([some])], ["some"])
+
+    reach = size // 2
+    found = within(reach)
+    if blocks.select("data").mapInArrow(bright, "some boolean").agg(F.max("some")).first()[0]:
+        while reach * reach < sum(n * n for n in shape) and left(found):
+            reach *= 2
+            found = within(reach)
+    return found
+
+
 def core_holes(mask: DataFrame, shape: Shape, most: int) -> DataFrame:
     """(z, y, x): voxels outside ``mask`` (z, y, x) that a slice along some axis encloses, in regions of at most ``most``.
 

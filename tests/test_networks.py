@@ -213,3 +213,15 @@ def test_straight_fibers_do_not_bend(spark):
     w = 20 / 40
     sagitta = (1 - math.cos(w / 2)) / (2 * math.sin(w / 2))
     assert math.exp(got[1]["bend"]) - 0.005 == pytest.approx(sagitta, rel=0.02)
+
+
+@pytest.mark.parametrize("size, share", [(4, 0.1), (8, 0.004), (4, 0.0), (32, 0.5)])
+def test_distances_to_the_nearest_site(spark, size, share):
+    rng = np.random.default_rng(9)
+    mask = rng.random(SHAPE) < share
+    rows = spark.createDataFrame([(int(z), int(y), int(x), float(mask[z, y, x])) for z, y, x in np.ndindex(SHAPE)], "z long, y long, x long, v double")
+    got = dense(blocks.to_rows(blocks.distance_transform(blocks.to_blocks(rows, SHAPE, size), SHAPE, size), SHAPE, size=size))
+    sites = np.argwhere(mask)
+    at = np.indices(SHAPE).reshape(3, -1).T
+    want = np.full(SHAPE, np.inf) if not len(sites) else np.sqrt(((at[:, None] - sites) ** 2).sum(2).min(1)).reshape(SHAPE)
+    assert np.allclose(got, want)
