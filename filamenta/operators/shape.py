@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,6 +106,46 @@ def schladitz_likelihood(cosines: DataFrame, column: str, betas: list[float]) ->
     return row.select(F.explode(pairs).alias("p")).select("p.*")
 
 
+#: The fit's bounds of ln(beta), a fixed value.
+LOG_BETA = 12.0
+
+
+def schladitz_fit(cosines: DataFrame, column: str) -> tuple[int, float | None]:
+    """(samples, beta) of greatest likelihood for the cosines of angles to the axis; no beta without samples.
+
+    The likelihood is concave in ln(beta), so its slope has one root: Newton's steps, halved into the bracket where they
+    leave it. A step is one aggregate of two sums. Where the slope keeps its sign, as for fibers all along or all across the
+    axis, beta is the bound.
+    """
+    squares = cosines.where(F.col(column).isNotNull() & ~F.isnan(column)).select(F.least(F.col(column) * F.col(column), F.lit(1.0)).alias("q"))
+
+    def slopes(points: list[float]) -> tuple[int, list[tuple[float, float]]]:
+        sums = [F.count("*")]
+        for x in points:
+            b2 = math.exp(2 * x)
+            under = 1 + (b2 - 1) * F.col("q")
+            sums += [F.sum(b2 * F.col("q") / under), F.sum(b2 * F.col("q") * (1 - F.col("q")) / (under * under))]
+        row = squares.agg(*sums).first()
+        return row[0], [(row[0] - 3 * (row[1 + 2 * k] or 0.0), -6 * (row[2 + 2 * k] or 0.0)) for k in range(len(points))]
+
+    grid = [k - LOG_BETA for k in range(int(2 * LOG_BETA) + 1)]
+    n, found = slopes(grid)
+    if not n:
+        return 0, None
+    if found[0][0] <= 0 or found[-1][0] >= 0:
+        return n, math.exp(grid[0] if found[0][0] <= 0 else grid[-1])
+    k = max(i for i, (slope, _) in enumerate(found) if slope > 0)
+    low, high, x = grid[k], grid[k + 1], 0.5 * (grid[k] + grid[k + 1])
+    for _ in range(60):
+        (slope, bend), = slopes([x])[1]
+        low, high = (x, high) if slope > 0 else (low, x)
+        step = x - slope / bend if bend < 0 else low
+        x, last = step if low < step < high else 0.5 * (low + high), x
+        if abs(x - last) < 1e-12:
+            break
+    return n, math.exp(x)
+
+
 def sample_segments(v: DataFrame, step: float) -> DataFrame:
     """Resampled points with their segment's unit tangent."""
     return sg.resampled(v, step, tangent=True)

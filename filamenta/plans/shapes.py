@@ -138,6 +138,23 @@ def schladitz_fit_grid(spark, sf_dir):
     return rounded(shape.schladitz_likelihood(t, "c", _BETAS))
 
 
+@query(
+    with_views(
+        f""", c AS MATERIALIZED (SELECT ((y2 - y) / len) ** 2 AS q FROM segs WHERE len > 2.220446049250313e-16),
+b AS (SELECT 0 AS i, CAST(-{shape.LOG_BETA} AS DOUBLE) AS lo, CAST({shape.LOG_BETA} AS DOUBLE) AS hi UNION ALL
+  SELECT i + 1, CASE WHEN s > 0 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN s > 0 THEN hi ELSE (lo + hi) / 2 END FROM (
+    SELECT i, lo, hi, (SELECT count(*) - 3 * sum(exp(lo + hi) * q / (1 + (exp(lo + hi) - 1) * q)) FROM c) AS s FROM b WHERE i < 60))
+SELECT (SELECT count(*) FROM c) AS samples, round(exp((lo + hi) / 2), 6) AS beta FROM b WHERE i = 60""",
+        "segs",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+)
+def schladitz_fit(spark, sf_dir):
+    """The axial model's beta of greatest likelihood for the segments' angles to the y axis."""
+    t = sg.tangents(sg.segments(ad.vertices(spark, sf_dir))).select(F.abs("ty").alias("c"))
+    n, beta = shape.schladitz_fit(t, "c")
+    return spark.createDataFrame([(n, None if beta is None else round(beta, 6))], "samples long, beta double")
+
+
 @query(
     with_views(
         f""", o AS (SELECT quantile_cont(c, [0, {", ".join(str(i / 100) for i in range(1, 101))}]) AS q FROM (SELECT abs(y2 - y) / len AS c FROM segs WHERE len > 2.220446049250313e-16))

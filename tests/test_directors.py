@@ -118,3 +118,21 @@ def test_owners_list_what_a_slanting_segment_meets(spark):
             want.setdefault(tuple(grid[k].tolist()), []).append((float(signed[k]), f))
     got = {(r["vx"], r["vy"], r["vz"]): (r["signed"], r["fiber_id"], r["claims"]) for r in volumes.owners(df, size).collect()}
     assert got == {k: (*min(v), len({f for _, f in v})) for k, v in want.items()}
+
+
+@pytest.mark.parametrize("beta", [0.2, 1.0, 5.0])
+def test_the_axial_model_is_fitted(spark, beta):
+    from filamenta.operators import shape
+
+    u = (np.arange(4000) + 0.5) / 4000
+    c = u / np.sqrt(beta**2 - (beta**2 - 1) * u * u)  # quantiles of the model
+    df = spark.createDataFrame([(float(x),) for x in c] + [(None,), (math.nan,)], "c double")
+    n, found = shape.schladitz_fit(df, "c")
+
+    def likelihood(x):
+        return len(c) * x - 1.5 * np.log1p((math.exp(2 * x) - 1) * c * c).sum()
+
+    assert n == 4000 and found == pytest.approx(beta, rel=0.01)
+    assert likelihood(math.log(found)) >= max(likelihood(math.log(found) + d) for d in (-1e-4, 1e-4))
+    edge = [shape.schladitz_fit(spark.createDataFrame([(x,)] * 5, "c double"), "c")[1] for x in (0.0, 1.0)]
+    assert edge == [math.exp(12), math.exp(-12)] and shape.schladitz_fit(df.limit(0), "c") == (0, None)
