@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filamenta.operators import segments as sg
+from filamenta.operators.numbering import numbered
 
 
 def issues(v: DataFrame, fibers: DataFrame, materials: DataFrame, least_vertices: int = 2, least_radius: float = 0.0) -> DataFrame:
@@ -24,6 +25,6 @@ def issues(v: DataFrame, fibers: DataFrame, materials: DataFrame, least_vertices
 
 
 def interned(df: DataFrame, name: str, order: str) -> DataFrame:
-    """(name, id): names by first occurrence. The last window sees one row per distinct name."""
+    """(name, id): names by first occurrence, numbered from 0."""
     first = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.min(order).alias("first"))
-    return first.select("name", (F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("id"))
+    return numbered(first, ["first", "name"], "id").select("name", "id")

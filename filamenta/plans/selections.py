@@ -121,12 +121,12 @@ def pair_bond_counts(spark, sf_dir):
 
 @query(with_views(", p AS (SELECT f.fiber_id AS a, h.fiber_id AS b, f.material_id AS ma, h.material_id AS mb FROM fibers f JOIN fibers h ON f.layer = h.layer AND f.section_id = h.section_id AND f.fiber_id < h.fiber_id) SELECT a, b FROM p WHERE (least(ma, mb), greatest(ma, mb)) IN ((0, 1), (2, 2), (1, 4))", "fibers"))
 def allowed_pairs(spark, sf_dir):
-    """Fiber pairs of one layer and section whose unordered material pair is allowed: a semi join with the allowed list."""
+    """Fiber pairs of one layer and section whose unordered material pair is allowed: joined on the material that each allows."""
     f = ad.fibers(spark, sf_dir)
-    h = f.select(F.col("fiber_id").alias("b"), F.col("material_id").alias("mb"), "layer", "section_id")
-    p = f.join(h, ["layer", "section_id"]).where("fiber_id < b").withColumns({"lo": F.least("material_id", "mb"), "hi": F.greatest("material_id", "mb")})
-    allowed = spark.createDataFrame([(0, 1), (2, 2), (1, 4)], "lo int, hi int")
-    return p.join(F.broadcast(allowed), ["lo", "hi"], "left_semi").select(F.col("fiber_id").alias("a"), "b")
+    h = f.select(F.col("fiber_id").alias("b"), F.col("material_id").alias("other"), "layer", "section_id")
+    allowed = spark.createDataFrame([(a, b) for p in ((0, 1), (2, 2), (1, 4)) for a, b in {p, p[::-1]}], "material_id int, other int")
+    asked = f.join(F.broadcast(allowed), "material_id")  # five rows
+    return asked.join(h, ["layer", "section_id", "other"]).where("fiber_id < b").select(F.col("fiber_id").alias("a"), "b")
 
 
 @query(with_views(", a AS (SELECT fiber_id, sum(len) AS length FROM segs GROUP BY 1) SELECT fiber_id, round(length, 6) AS length, 1 + count(*) OVER (ORDER BY round(length, 6) DESC, fiber_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS rank FROM a QUALIFY rank <= 20", "segs"))
