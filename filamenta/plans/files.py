@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from filamenta.operators import particles
 from filamenta.operators.numbering import numbered
 from filamenta.plans.measures import rounded
+from filamenta.plans.directors import AXES
 from filamenta.plans.networks import _VOL, _volume
 from filamenta.plans.registry import query
 from filamenta.session import shared_folder, staged
@@ -70,11 +71,11 @@ LOW, HIGH = (0.0, 0.0, 0.0), (500.0, 800.0, 20.0)
 
 @query(
     with_views(
-        f""", e AS (SELECT fiber_id, min_by({{'x': x, 'y': y, 'z': z}}, seq) AS a, max_by({{'x': x, 'y': y, 'z': z}}, seq) AS b FROM vertices GROUP BY 1), l AS (SELECT fiber_id, sum(len) AS length FROM segs GROUP BY 1),
+        AXES + f""", e AS (SELECT fiber_id, min_by({{'x': x, 'y': y, 'z': z}}, seq) AS a, max_by({{'x': x, 'y': y, 'z': z}}, seq) AS b FROM vertices GROUP BY 1), l AS (SELECT fiber_id, sum(len) AS length FROM segs GROUP BY 1),
 r AS (SELECT e.*, row_number() OVER (ORDER BY e.fiber_id) AS fiber, coalesce(length, 0) AS length, radius, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz, greatest(1.5 * radius, 2) AS m FROM e JOIN fibers USING (fiber_id) LEFT JOIN l USING (fiber_id)),
-q AS (SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS chord FROM r)
+q AS (SELECT r.*, sqrt(dx * dx + dy * dy + dz * dz) AS chord, ax, ay, az FROM r JOIN ax USING (fiber_id))
 SELECT fiber, CAST(fiber_id % 5 + 1 AS INTEGER) AS type, round(CAST(2 * radius AS DOUBLE), 6) AS diameter, round(length, 6) AS length, round(CASE WHEN length > 0 THEN chord / length ELSE 1 END, 6) AS straightness,
-  round(degrees(asin(least(CASE WHEN chord > 0 THEN abs(dz) / chord ELSE 0 END, 1))), 6) AS out_of_plane, round(CASE WHEN chord > 0 THEN CASE WHEN atan2(dy, dx) < 0 THEN degrees(atan2(dy, dx)) + 180 ELSE degrees(atan2(dy, dx)) END ELSE 0 END, 6) AS in_plane,
+  round(degrees(asin(least(abs(az), 1))), 5) AS out_of_plane, round(CASE WHEN atan2(ay, ax) < 0 THEN degrees(atan2(ay, ax)) + 180 ELSE degrees(atan2(ay, ax)) END, 5) AS in_plane,
   CAST({' OR '.join(f"{e}.{c} < {lo} + m OR {e}.{c} > {hi} - m" for c, lo, hi in zip('xyz', LOW, HIGH)for e in 'ab')} AS INTEGER) AS touches_edge,
   {', '.join(f"round({e}.{c}, 6) AS {n}_{c}" for e, n in (('a', 'start'), ('b', 'end')) for c in 'xyz')} FROM q""",
         "segs", "fibers",
@@ -86,7 +87,8 @@ def fiber_table(spark, sf_dir):
     v, f = ad.vertices(spark, sf_dir), ad.fibers(spark, sf_dir).select("fiber_id", F.col("material_id").alias("type"), "radius")
     tables.write_tables(v, f, folder, LOW, HIGH)
     kinds = "fiber long, type int, diameter double, length double, straightness double, out_of_plane double, in_plane double, touches_edge int, " + ", ".join(f"{n}_{c} double" for n in ("start", "end") for c in "xyz")
-    return rounded(tables.read_csv(spark, f"{folder}/fibers", kinds))
+    out = tables.read_csv(spark, f"{folder}/fibers", kinds)
+    return rounded(out.withColumns({c: F.round(c, 5) + 0.0 for c in ("out_of_plane", "in_plane")}))
 
 
 @query(with_views(_VOL + "SELECT z, y, x, round(v, 6) AS v FROM vol", "image"))

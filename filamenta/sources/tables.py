@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filamenta.functions import geometry as g
+from filamenta.operators import axes
 from filamenta.operators import segments as sg
 from filamenta.operators.numbering import numbered
 from filamenta.session import staged
@@ -29,13 +30,12 @@ def fiber_rows(vertices: DataFrame, fibers: DataFrame, low: tuple[float, float,
     """One row a fiber: number, type, diameter, length, straightness, angles, whether it touches the box's edge, and both ends.
 
     ``fibers``: fiber_id, type, radius. Fibers are numbered from 1 in the order of their ids, types from 1. The out-of-plane
-    angle is that of the axis with the plane z = 0, the in-plane one its direction there from 0 to 180 degrees; the axis is
-    the chord's, x where both ends meet. A fiber touches the edge if an end is nearer than 1.5 radii, or 2, to it.
+    angle is that of the fiber's axis with the plane z = 0, the in-plane one its direction there from 0 to 180 degrees. A fiber touches the edge if an end is nearer than 1.5 radii, or 2, to it.
     """
     lengths = sg.segments(vertices).groupBy("fiber_id").agg(F.sum("len").alias("length"))
     tip = lambda f: f(F.struct("x", "y", "z"), "seq")
     ends = vertices.groupBy("fiber_id").agg(tip(F.min_by).alias("a"), tip(F.max_by).alias("b"))
-    rows = numbered(ends.join(fibers, "fiber_id").join(lengths, "fiber_id", "left"), ["fiber_id"], "number")
+    rows = numbered(ends.join(fibers, "fiber_id").join(lengths, "fiber_id", "left").join(axes.fiber_axes(vertices), "fiber_id"), ["fiber_id"], "number")
     d = tuple(F.col(f"b.{c}") - F.col(f"a.{c}") for c in "xyz")
     chord, length = g.norm(d), F.coalesce("length", F.lit(0.0))
     margin = F.greatest(1.5 * F.col("radius"), F.lit(2.0))
@@ -43,8 +43,7 @@ def fiber_rows(vertices: DataFrame, fibers: DataFrame, low: tuple[float, float,
     for c, lo, hi in zip("xyz", low, high, strict=True):
         for e in "ab":
             edge |= (F.col(f"{e}.{c}") < lo + margin) | (F.col(f"{e}.{c}") > hi - margin)
-    sine = F.when(chord > 0, F.abs(d[2]) / chord).otherwise(0.0)
-    turn = F.degrees(F.atan2(F.when(chord > 0, d[1]).otherwise(0.0), F.when(chord > 0, d[0]).otherwise(1.0)))
+    sine, turn = F.abs("az"), F.degrees(F.atan2("ay", "ax"))
     return rows.select(
         (F.col("number") + 1).alias("fiber"), (F.col("type") + 1).alias("type"), (2 * F.col("radius")).alias("diameter"), length.alias("length"),
         F.when(length > 0, chord / length).otherwise(1.0).alias("straightness"), F.degrees(F.asin(F.least(sine, F.lit(1.0)))).alias("out_of_plane"), F.pmod(turn, F.lit(180.0)).alias("in_plane"),

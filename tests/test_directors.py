@@ -136,3 +136,23 @@ def test_the_axial_model_is_fitted(spark, beta):
     assert likelihood(math.log(found)) >= max(likelihood(math.log(found) + d) for d in (-1e-4, 1e-4))
     edge = [shape.schladitz_fit(spark.createDataFrame([(x,)] * 5, "c double"), "c")[1] for x in (0.0, 1.0)]
     assert edge == [math.exp(12), math.exp(-12)] and shape.schladitz_fit(df.limit(0), "c") == (0, None)
+
+
+def test_axes_and_interior_ends(spark):
+    from filamenta.operators import axes
+
+    rows = network()
+    got = {r["fiber_id"]: np.array([r["ax"], r["ay"], r["az"]]) for r in axes.fiber_axes(spark.createDataFrame(rows, VERTICES)).collect()}
+    for f in got:
+        d = np.diff(np.array([r[2:] for r in rows if r[0] == f]).reshape(-1, 3), axis=0)
+        n = np.linalg.norm(d, axis=1)
+        if n.sum() == 0:
+            assert got[f].tolist() == [1.0, 0.0, 0.0]
+            continue
+        d, n = d[n > 0], n[n > 0]
+        values, vectors = np.linalg.eigh((d.T / n) @ d)
+        if values[2] - values[1] > 1e-6:
+            assert abs(got[f] @ vectors[:, 2]) == pytest.approx(1) and got[f][np.argmax(np.abs(got[f]))] > 0
+    radii = spark.createDataFrame([(f, 1.0) for f in range(10)], "fiber_id long, radius double")
+    v = spark.createDataFrame([(0, 0, 1.5, 5.0, 5.0), (0, 1, 9.0, 5.0, 5.0), (1, 0, 1.4, 5.0, 5.0), (1, 3, 8.5, 5.0, 8.5)], VERTICES)
+    assert sorted(map(tuple, axes.interior_ends(v, radii, (0.0,) * 3, (10.0,) * 3).collect())) == [(0, True, False), (1, False, True)]
