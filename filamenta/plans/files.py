@@ -91,7 +91,7 @@ def fiber_table(spark, sf_dir):
     return rounded(out.withColumns({c: F.round(c, 5) + 0.0 for c in ("out_of_plane", "in_plane")}))
 
 
-@query(with_views(_VOL + "SELECT z, y, x, round(v, 6) AS v FROM vol", "image"))
+@query(with_views(_VOL + "SELECT z, y, x, round(v, 6) + 0.0 AS v FROM vol", "image"))
 def snapshot_volume(spark, sf_dir):
     """The volume saved as a snapshot and loaded again."""
     rows, _ = _volume(spark, sf_dir)
@@ -100,7 +100,7 @@ def snapshot_volume(spark, sf_dir):
     return rounded(snapshots.load_snapshot(spark, root, "volume")[0]["volume"])
 
 
-@query(with_views(_VOL + "SELECT z, y, x, round(v, 5) AS v FROM vol", "image"))
+@query(with_views(_VOL + "SELECT z, y, x, round(v, 5) + 0.0 AS v FROM vol", "image"))
 def vti_volume(spark, sf_dir):
     """The volume written as a VTI file and read again in slabs."""
     rows, shape = _volume(spark, sf_dir)
