@@ -15,7 +15,8 @@ one file that is memory-mapped for the search.
 
 Scale. Texts are counted in batches: a batch sends each shard one block with its distinct (word, context, document)
 triples, for training and for scoring at once, in one exchange. A common word's or pair's occurrences are counted before
-they move. Shards hold SHARD_TOKENS tokens on average. Word hashes have 64 bits, contexts below a word 40 of them.
+they move. Shards hold SHARD_TOKENS tokens on average; a shard's distinct pairs are looked up together, in lots of LOT
+triples, and it sends back sums only for the documents of a batch that it has tokens of. Word hashes have 64 bits, contexts below a word 40 of them.
 Only N, n1 and the like, three numbers, reach the driver.
 
 A null or empty text is the end token alone. Repeated rows and keys are separate documents. Without training text every
@@ -39,6 +40,8 @@ from pyspark.sql import functions as F
 M = 1000.0
 BATCH_TOKENS, BATCH_DOCS = 1 << 21, 1 << 12
 SHARD_TOKENS = 2_000_000
+#: Triples of a shard that are looked up at once.
+LOT = 1 << 23
 CONTEXT_MASK = np.uint64((1 << 40) - 1)
 START, END = b" <s>", b" </s>"  # no word holds a space
 
@@ -342,13 +345,34 @@ def _score_blocks(trie: Trie, triples: list[tuple], words: np.ndarray, contexts:
     lone = np.log10(strength * np.where(counts > 0, (1 - unknown) * counts / max(total, 1), unknown))
     before, base = np.log10(counts + strength), np.log10(counts + 1.0)
     size = np.int64(max(1, len(contexts)))
-    for docs, key, doc, n in triples:
-        word = key // size
+    for lot in _lots(triples):
+        # one search for the lot: it decodes levels whole, which for every block would grow with the square of the text
+        every = np.unique(np.concatenate([key for _, key, _, _ in lot]))
+        word = every // size
         # a pair of an unknown context never is in the trie, as the context was not seen in training
-        pair = trie.find(node[word], contexts[key % size])
-        score = np.where(np.isnan(pair), lone[word], pair) - before[word]
-        sums = [np.bincount(doc, n * x, docs) for x in (score, base[word])]
-        yield _pack(np.bincount(doc, n * (counts[word] > 0), docs).astype(np.int64), *sums)
+        pair = trie.find(node[word], contexts[every % size])
+        value = np.where(np.isnan(pair), lone[word], pair) - before[word]
+        del pair
+        for _, key, doc, n in lot:
+            at = np.searchsorted(every, key)
+            own = word[at]
+            # only the documents that the block has tokens of: blocks get smaller as shards get more
+            used, place = np.unique(doc, return_inverse=True)
+            sums = [np.bincount(place, n * x, len(used)) for x in (value[at], base[own])]
+            yield _pack(_small(used), _small(np.bincount(place, n * (counts[own] > 0), len(used)).astype(np.int64)), *sums)
+
+
+def _lots(triples: list[tuple]) -> Iterator[list[tuple]]:
+    """Blocks in order, in lots of LOT triples or little more."""
+    lot, held = [], 0
+    for t in triples:
+        lot.append(t)
+        held += len(t[1])
+        if held >= LOT:
+            yield lot
+            lot, held = [], 0
+    if lot:
+        yield lot
 
 
 def _solve(total: int, unknown: float, strength: float, tries: bool):
@@ -379,8 +403,10 @@ def _merge(total: int, kinds: int):
         keys, held, tokens = _unpack(group[group["info"]]["block"].iloc[0])
         known, score, base = np.zeros(len(keys), np.int64), np.zeros(len(keys)), np.zeros(len(keys))
         for b in group[~group["info"]].sort_values("block")["block"]:
-            k, s, c = _unpack(b)
-            known, score, base = known + k, score + s, base + c
+            docs, k, s, c = _unpack(b)
+            known[docs] += k.astype(np.int64)
+            score[docs] += s
+            base[docs] += c
         base -= tokens * np.log10(total + kinds + 1.0)
         return pd.DataFrame({"key": pd.array(keys, "Int64"), "held_out": held, "n_tokens": tokens, "n_known": known, "train_tokens": total, "base_score": base, "score": score})
 

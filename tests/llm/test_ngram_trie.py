@@ -86,3 +86,23 @@ def test_scores_against_brute_force(spark, monkeypatch):
     assert ngram_trie.tries(frame, cond).count() > 1
     assert ngram_trie.scored(frame.limit(0), cond).count() == 0
     assert [r.n_known for r in ngram_trie.scored(frame.where("doc_id = 1"), F.lit(True)).collect()] == [0]
+
+
+def test_levels_are_searched_once_for_many_blocks_and_only_touched_documents_return(monkeypatch):
+    packed, busy = [], {ngram_trie._hash(w) % 8 for w in (ngram_trie.END, b"common")}
+    shard = min(set(range(8)) - busy)
+    for b in range(30):
+        batch = ngram_trie._Batch()
+        for d in range(40):
+            batch.add(d, d % 7 == 2, f"common w{b * d % 50} only{b}x{d}")
+        packed += [blob for s, blob in batch.blocks(8) if s == shard]
+    trie, triples, words, contexts = ngram_trie._shard_trie(packed, 4000, 0.01, ngram_trie.M)
+    calls, find = [], ngram_trie.Trie.find
+    monkeypatch.setattr(ngram_trie.Trie, "find", lambda self, *a: calls.append(1) or find(self, *a))
+    whole = [ngram_trie._unpack(x) for x in ngram_trie._score_blocks(trie, triples, words, contexts, 4000, 0.01, ngram_trie.M)]
+    assert len(calls) == 1 and len(whole) == len(packed)
+    assert all(len(docs) == len(known) == len(score) == len(base) == len(set(t[2].tolist())) for (docs, known, score, base), t in zip(whole, triples, strict=True))
+    assert sum(len(w[0]) for w in whole) < 30 * 40
+    monkeypatch.setattr(ngram_trie, "LOT", 1)
+    for one, other in zip(whole, ngram_trie._score_blocks(trie, triples, words, contexts, 4000, 0.01, ngram_trie.M), strict=True):
+        assert all((a == b).all() for a, b in zip(one, ngram_trie._unpack(other), strict=True))
