@@ -32,6 +32,8 @@ from filamenta.session import staged
 
 #: Postings of a shard, postings read of each list in a first round, and bytes of query terms that go to every task at once.
 SHARD, STEP, BLOCK = 1 << 19, 32, 8 << 20
+#: Shards of a Parquet row group. A task holds a row group at once, and Parquet looks at its size only after 100 rows.
+GROUP = 2
 _WORD = [chr(b) if chr(b).isalnum() and b < 128 else "" for b in range(256)]
 #: One byte for another: A-Z to a-z, other ASCII characters than letters and digits to a space; bytes over 127 stay.
 TABLE = bytes(ord(c.lower()) if c else b if b > 127 else 32 for b, c in enumerate(_WORD))
@@ -108,7 +110,7 @@ def index(documents: DataFrame, key: str = "doc_id", text: str = "text", shard:
     kind = documents.schema[key].dataType.simpleString()
     rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
     schema = f"terms array<binary>, held array<int>, docs binary, impacts binary, keys array<{kind}>"
-    return staged(rows.mapInArrow(run, schema), "threshold-index"), docs
+    return staged(rows.mapInArrow(run, schema), "threshold-index", **{"parquet.block.row.count.limit": str(GROUP)}), docs
 
 
 def _query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from filamenta.llm import threshold_search as ts
@@ -95,3 +96,10 @@ def test_stops_only_strictly_below_the_kth_score():
     docs = np.array([9, 3, 1], np.int32)
     lists = [(docs, np.array([4, 4, 4], np.int32))]
     assert [b[2] for b in ts.threshold_top(lists, [1], 10, lambda d: np.full(len(d), 4), [], int, 1, step=1)] == [1]
+
+
+def test_a_row_group_holds_few_shards(spark):
+    docs = spark.createDataFrame([(i, f"w{i} w{i % 7} common") for i in range(300)], "doc_id long, text string").coalesce(1)
+    shards, _ = ts.index(docs, shard=60)
+    sizes = [m.row_group(g).num_rows for f in shards.inputFiles() for m in [pq.read_metadata(f.removeprefix("file://"))] for g in range(m.num_row_groups)]
+    assert sum(sizes) == shards.count() > 10 and max(sizes) <= ts.GROUP
