@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from filamenta.functions import geometry as g
 from filamenta.operators import matching
-from filamenta.operators.graph import connected_components
+from filamenta.operators.graph import connected_components, forest
 from filamenta.operators.numbering import numbered
 from filamenta.session import staged
 
@@ -96,47 +97,54 @@ def read_data(spark: SparkSession, path: str, style: str | None = None) -> tuple
     number. header has the counts, the box by axis, ``style``, and ``images``: whether atom rows have image flags.
     """
     lines = _lines(spark, path)
-    found = lines.where(F.col("line").isin(SECTIONS)).orderBy("at").collect()
-    starts = [(r["at"], r["line"], r["note"]) for r in found]
-    before = lines.where(F.col("line") != "")
-    before = before.where(F.col("at") < _place(starts[0][0])) if starts else before
-    top = before.orderBy("at").limit(HEADER_LINES).collect()
-    first = lines.orderBy("at").first()  # a title, whatever it says
-    header = _header([r["line"] for r in top if first is None or r["at"] != first["at"]])
+    mark = F.when(F.col("line").isin(SECTIONS), F.struct("at", "line", "note"))
+    seen = lines.agg(F.min("at").alias("first"), F.collect_list(mark).alias("marks")).first()
+    first, starts = seen["first"], sorted((r["at"], r["line"], r["note"]) for r in seen["marks"])  # the first line is a title, whatever it says
+
+    def between(low, high) -> DataFrame:
+        """Lines that say something, after ``low`` and before ``high``; files that hold none of them are not read."""
+        rows = lines.where(F.col("line") != "")
+        if low is not None:
+            rows = rows.where((F.col("at.f") >= low["f"]) & (F.col("at") > _place(low)))
+        return rows if high is None else rows.where((F.col("at.f") <= high["f"]) & (F.col("at") < _place(high)))
+
+    top = between(None, starts[0][0] if starts else None).orderBy("at").limit(HEADER_LINES).collect()
+    header = _header([r["line"] for r in top if r["at"] != first])
 
     def section(name: str) -> DataFrame:
         at = [k for k, (_, n, _) in enumerate(starts) if n == name]
         if not at:
             return lines.limit(0).withColumn("p", F.split("line", " "))
-        rows = lines.where((F.col("at") > _place(starts[at[0]][0])) & (F.col("line") != ""))
-        if at[0] + 1 < len(starts):
-            rows = rows.where(F.col("at") < _place(starts[at[0] + 1][0]))
+        rows = between(starts[at[0]][0], starts[at[0] + 1][0] if at[0] + 1 < len(starts) else None)
         return rows.withColumn("p", F.split("line", " "))
 
     noted = next((note for _, n, note in starts if n == "Atoms" and note), "")
     style = style or noted or "bpm/sphere"
     names = columns_of(style)
     rows = section("Atoms")
-    widths = {r["w"]: r["count"] for r in rows.groupBy(F.size("p").alias("w")).count().collect()}
-    if bad := set(widths) - {len(names), len(names) + 3}:
+    good = [len(names), len(names) + 3]
+    pick = lambda n: F.when(F.col("w").isin(good), F.get("p", F.lit(names.index(n)))) if n in names else F.lit(None)
+    image = lambda k: F.when(F.col("w") == good[1], F.get("p", F.lit(len(names) + k)))
+    parsed = rows.withColumn("w", F.size("p")).select(
+        pick("id").cast("long").alias("id"), pick("molecule").cast("long").alias("molecule"), pick("type").alias("kind"), pick("diameter").cast("double").alias("diameter"),
+        *[pick(c).cast("double").alias(c) for c in "xyz"], *[F.coalesce(image(k).cast("int"), F.lit(0)).alias(f"i{c}") for k, c in enumerate("xyz")], "w",
+    )
+    ready = staged(parsed, "lammps-rows")  # the text is parsed once
+    widths = {r["w"]: r["count"] for r in ready.groupBy("w").count().collect()}
+    if bad := set(widths) - set(good):
         raise LammpsError("row_width", f"{min(bad)} values, but atom style {style!r} has {len(names)} ({' '.join(names)}), or {len(names) + 3} with image flags")
     if sum(widths.values()) != header.get("atoms", 0):
         raise LammpsError("row_count", f"the header gives {header.get('atoms', 0)} atoms, but the Atoms section has {sum(widths.values())}")
-    labels = section("Atom Type Labels").select(F.element_at("p", 1).cast("int").alias("label_id"), F.expr("substring(line, locate(' ', line) + 1)").alias("label"))
-    pick = lambda n: F.col("p")[names.index(n)] if n in names else F.lit(None)
-    typed = rows.withColumn("kind", pick("type")).join(labels, F.col("kind") == F.col("label"), "left")
-    atoms = typed.select(
-        pick("id").cast("long").alias("id"), pick("molecule").cast("long").alias("molecule"), F.coalesce("label_id", F.col("kind").try_cast("int")).alias("type"), pick("diameter").cast("double").alias("diameter"),
-        *[pick(c).cast("double").alias(c) for c in "xyz"],
-        *[F.coalesce(F.get("p", F.lit(len(names) + k)).cast("int"), F.lit(0)).alias(f"i{c}") for k, c in enumerate("xyz")],
-    )
+    numbers = lambda name: section(name).select(F.element_at("p", 1).cast("int").alias("label_id"), F.expr("substring(line, locate(' ', line) + 1)").alias("label"))
+    has = lambda name: any(n == name for _, n, _ in starts)
+    named = lambda df, name: df.join(numbers(name), F.col("kind") == F.col("label"), "left") if has(name) else df.withColumn("label_id", F.lit(None).cast("int"))
+    atoms = named(ready, "Atom Type Labels").select("id", "molecule", F.coalesce("label_id", F.col("kind").try_cast("int")).alias("type"), "diameter", *"xyz", "ix", "iy", "iz")
     if atoms.groupBy("id").count().where("count > 1").limit(1).count():
         raise LammpsError("duplicate_atom", "an atom id occurs twice")
-    kinds = section("Bond Type Labels").select(F.element_at("p", 1).cast("int").alias("label_id"), F.expr("substring(line, locate(' ', line) + 1)").alias("label"))
     links = section("Bonds")
     if (n := links.count()) != header.get("bonds", 0):
         raise LammpsError("row_count", f"the header gives {header.get('bonds', 0)} bonds, but the Bonds section has {n}")
-    typed = links.withColumn("kind", F.col("p")[1]).join(kinds, F.col("kind") == F.col("label"), "left")
+    typed = named(links.withColumn("kind", F.col("p")[1]), "Bond Type Labels")
     bonds = typed.select(F.col("p")[0].cast("long").alias("id"), F.coalesce("label_id", F.col("kind").try_cast("int")).cast("long").alias("type"), F.col("p")[2].cast("long").alias("a"), F.col("p")[3].cast("long").alias("b"))
     return atoms, bonds, header | {"style": style, "images": len(names) + 3 in widths}
 
@@ -180,33 +188,93 @@ def read_fibers(spark: SparkSession, path: str, style: str | None = None, diamet
         return d - F.lit(size[c]) * F.rint(d / F.lit(size[c])) if flags[c] else d
 
     if header.get("bonds", 0):
-        ends = atoms.select(F.col("id").alias("n"), F.col("molecule").alias("m"))
-        if not bonds.select(F.explode(F.array("a", "b")).alias("n")).join(ends, "n", "left_anti").isEmpty():
+        ends = atoms.select(F.col("id").alias("n"), F.col("molecule").alias("m"), F.lit(True).alias("there"))
+        side = lambda c: ends.select(F.col("n").alias(c), F.col("m").alias(f"m{c}"), F.col("there").alias(f"there_{c}"))
+        met = staged(bonds.join(side("a"), "a", "left").join(side("b"), "b", "left"), "lammps-bonds")
+        if not met.where("there_a is null or there_b is null").isEmpty():
             raise LammpsError("bad_bond", "a bond names an atom that is not there")
-        kept = bonds.where("a <> b") if bond_types is None else bonds.where(F.col("type").isin(bond_types)).where("a <> b")
-        pairs = kept.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = pairs.join(ends.select(F.col("n").alias("a"), "m"), "a").join(ends.select(F.col("n").alias("b"), F.col("m").alias("m2")), "b").where("m <=> m2").select("a", "b")
+        kept = met.where("a <> b and ma <=> mb") if bond_types is None else met.where(F.col("type").isin(bond_types)).where("a <> b and ma <=> mb")
+        pairs = kept.select(F.coalesce("ma", F.lit(-1)).alias("component"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         order, others = _bonded(atoms, staged(pairs, "lammps-links"))
     else:
         order, others = _unbonded(atoms, step)
     rows = atoms.join(order, "id")
     w = Window.partitionBy("fiber_id").orderBy("seq")
     moved = rows.withColumns({f"d{c}": step(F.lag(c).over(w), F.col(c), c) for c in "xyz"})
-    if not moved.where("dx = 0 and dy = 0 and dz = 0").isEmpty():
-        raise LammpsError("same_point", "two atoms in a row of one fiber are at the same point")
     start = {c: F.first(F.col(c) + (F.col(f"i{c}") * size[c] if flags[c] else 0.0)).over(w) for c in "xyz"}
-    line = moved.select("fiber_id", "seq", "id", "type", "diameter", *[(start[c] + F.sum(F.coalesce(f"d{c}", F.lit(0.0))).over(w)).alias(c) for c in "xyz"])
+    still = F.coalesce((F.col("dx") == 0) & (F.col("dy") == 0) & (F.col("dz") == 0), F.lit(False)).alias("still")
+    line = moved.select("fiber_id", "seq", "id", "type", "diameter", still, *[(start[c] + F.sum(F.coalesce(f"d{c}", F.lit(0.0))).over(w)).alias(c) for c in "xyz"])
     vertices = staged(line, "lammps-vertices")
+    if not vertices.where("still").isEmpty():
+        raise LammpsError("same_point", "two atoms in a row of one fiber are at the same point")
     fibers = vertices.groupBy("fiber_id").agg(F.min_by("type", "seq").alias("type"), F.min_by("diameter", "seq").alias("diameter"), F.count("*").alias("atoms"))
     reach = atoms.agg(*[f for c in "xyz" for f in (F.min(F.col(c) - F.col("diameter") / 2).alias(f"low{c}"), F.max(F.col(c) + F.col("diameter") / 2).alias(f"high{c}"))]).first()
     cell = {c: (*(header[c] if flags[c] or reach[f"low{c}"] is None else (min(header[c][0], reach[f"low{c}"]), max(header[c][1], reach[f"high{c}"]))), flags[c]) for c in "xyz"}
     return fibers, vertices.select("fiber_id", "seq", "id", "x", "y", "z"), others, cell
 
 
-def _bonded(atoms: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, fiber_id, seq) along chains of bonds, and (id, why) of the other atoms."""
+def _shaped(component: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    """(id, fiber_id, seq, way) of all nodes of pairs a < b that hold whole components; way is path, ids or branch."""
+    names, code = np.unique(np.concatenate((a, b)), return_inverse=True)
+    ia, ib = code[: len(a)], code[len(a) :]
+    group, of = np.unique(forest(len(names), ia, ib), return_inverse=True)
+    group, c = names[group], of[ia]
+    size, most = np.bincount(of), np.zeros(len(group), np.int64)
+    np.maximum.at(most, of, np.bincount(code))
+    order = np.argsort(of, kind="stable")
+    rank = np.empty(len(names), np.int64)
+    rank[order] = np.arange(len(names)) - np.repeat(np.cumsum(size) - size, size)
+    by_id = np.bincount(c[rank[ib] == rank[ia] + 1], minlength=len(group)) == size - 1
+    path = (most <= 2) & (np.bincount(c) == size - 1)
+    way = np.where(path, "path", np.where(by_id, "ids", "branch"))[of]
+    fiber, seq = group[of], rank  # a path whose pairs are all of ids that follow one another has their order
+    bent = (path & ~by_id)[c]
+    if bent.any():
+        p, q, k = (np.concatenate(x) for x in ((ia[bent], ib[bent]), (ib[bent], ia[bent]), (c[bent], c[bent])))
+        key = np.lexsort((q, p))
+        p, q, k = p[key], q[key], k[key]
+        end = np.r_[0, (p[1:] == p[:-1]).astype(np.int64)]  # a node's first or second neighbour
+        at, width = p * len(names) + q, len(names)
+        other = end[np.searchsorted(at, q * width + p)]
+        node, chain, position, _ = matching.in_chains(k, p, end, q, other)
+        fiber[node], seq[node] = names[chain], position
+    return [names, fiber, seq, way.astype(object)]
+
+
+def _bonded(atoms: DataFrame, pairs: DataFrame, held: int = matching.CHAIN) -> tuple[DataFrame, DataFrame]:
+    """(id, fiber_id, seq) along chains of bonds, and (id, why) of the other atoms.
+
+    ``pairs``: component, a, b; a chain's pairs have one ``component``, which may hold many chains (a molecule does). One of at
+    most ``held`` pairs is dealt to a task, many to each; of a larger one the chains are found, and only those that are longer
+    are ordered in rounds.
+    """
+    task = lambda rows: matching.by_component(rows.select("component", "a", "b"), _shaped, "id long, fiber_id long, seq long, way string")
+
+    def larger(rows: DataFrame) -> DataFrame:
+        return staged(rows.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > held).select("component"), "lammps-large")
+
+    far = larger(pairs)
+    if far.isEmpty():
+        order = staged(task(pairs), "lammps-shaped")
+    else:
+        near, rest = task(pairs.join(far, "component", "left_anti")), pairs.join(far, "component", "left_semi").select("a", "b")
+        found = staged(connected_components(rest, "a", "b"), "lammps-found")
+        named = staged(rest.join(found, F.col("a") == F.col("node")).select("component", "a", "b"), "lammps-named")
+        far = larger(named)
+        order = near.unionByName(task(named.join(far, "component", "left_anti")))
+        if not far.isEmpty():
+            order = order.unionByName(_bonded_far(named.join(far, "component", "left_semi").select("a", "b"), found.join(far, "component", "left_semi").select("node", "component")))
+        order = staged(order, "lammps-shaped")
+    ways, order = order.select("id", "way"), order.where("way <> 'branch'").select("id", "fiber_id", "seq")
+    why = F.when(F.col("way") == "branch", "bonds branch or close a loop").otherwise("not bonded")
+    others = atoms.select("id").join(ways.where("way <> 'branch'").select("id"), "id", "left_anti").join(ways, "id", "left").select("id", why.alias("why"))
+    return order, others
+
+
+def _bonded_far(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, fiber_id, seq, way) for components of any size."""
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    parts = numbered(connected_components(pairs, "a", "b"), ["component", "node"])
+    parts = numbered(found, ["component", "node"])
     named = staged(parts.join(both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("degree")), "node"), "lammps-parts")
     after = named.select((F.col("n") - 1).alias("n"), F.col("node").alias("b"), F.col("component").alias("c"))
     apart = named.join(after, "n").where("component = c").join(pairs, (F.col("node") == pairs["a"]) & (after["b"] == pairs["b"]), "left_anti").select("component").distinct()
@@ -218,12 +286,10 @@ def _bonded(atoms: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     side = F.row_number().over(Window.partitionBy("a").orderBy("b")) - 1
     sides = both.join(paths, F.col("a") == F.col("node"), "left_semi").withColumn("e", side)
     links = sides.alias("p").join(sides.alias("q"), (F.col("p.a") == F.col("q.b")) & (F.col("p.b") == F.col("q.a"))).where("p.a < p.b").select(F.col("p.a").alias("a"), F.col("p.e").alias("ea"), F.col("q.a").alias("b"), F.col("q.e").alias("eb"))
-    chained = matching.chain_order(paths, links).select(F.col("node").alias("id"), F.col("chain").alias("fiber_id"), F.col("position").alias("seq"))
-    by_id = kinds.where("way = 'ids'").select(F.col("node").alias("id"), F.col("component").alias("fiber_id"), "seq")
-    order = staged(chained.unionByName(by_id), "lammps-order")
-    why = F.when(F.col("way") == "branch", "bonds branch or close a loop").otherwise("not bonded")
-    others = atoms.select("id").join(order.select("id"), "id", "left_anti").join(kinds.select(F.col("node").alias("id"), "way"), "id", "left").select("id", why.alias("why"))
-    return order, others
+    chained = matching.chain_order(paths, links).select("node", "chain", "position")
+    seq = F.when(F.col("way") == "path", F.col("position")).otherwise(F.col("seq"))
+    ways = kinds.join(chained, "node", "left")
+    return ways.select(F.col("node").alias("id"), F.coalesce("chain", "component").alias("fiber_id"), seq.alias("seq"), "way")
 
 
 def _unbonded(atoms: DataFrame, step) -> tuple[DataFrame, DataFrame]:
