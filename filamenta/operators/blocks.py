@@ -11,6 +11,7 @@ are left out.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,12 +24,22 @@ from filamenta.session import staged
 
 Shape = tuple[int, int, int]
 SIZE = 32
+#: Voxels of a hole that blocks find with what is around them.
+NEAR = 16
+#: Bytes of voxels for a task, and the most tasks that blocks are dealt to.
+TASK_BYTES, MOST_TASKS = 1 << 22, 1 << 12
 _BLOCK = "bz int, by int, bx int, data binary"
 _KEYS = ["bz", "by", "bx"]
 #: Hessian components by name, with the derivative's order along z, y and x.
 COMPONENTS = {"xx": (0, 0, 2), "yy": (0, 2, 0), "zz": (2, 0, 0), "xy": (0, 1, 1), "xz": (1, 0, 1), "yz": (1, 1, 0)}
 
 
+def _tasks(shape: Shape, size: int) -> int:
+    """Tasks to deal a volume's blocks to: by the voxels, as blocks that are all alike are small only while they are moved."""
+    blocks = math.prod(-(-n // size) for n in shape)
+    return max(1, min(MOST_TASKS, -(-8 * blocks * math.prod(min(size, n) for n in shape) // TASK_BYTES)))
+
+
 def _box(shape: Shape, size: int, block: tuple[int, int, int]) -> list[tuple[int, int]]:
     return [(b * size, min((b + 1) * size, n)) for b, n in zip(block, shape, strict=True)]
 
@@ -61,17 +72,33 @@ def to_blocks(rows: DataFrame, shape: Shape, size: int = SIZE) -> DataFrame:
     """(bz, by, bx, data) of voxels (z, y, x, v); of a voxel that is there twice, either."""
     block = [F.floor(F.col(c) / size).cast("int").alias(f"b{c}") for c in "zyx"]
     inside = " and ".join(f"{c} >= 0 and {c} < {n}" for c, n in zip("zyx", shape, strict=True))
-    ready = rows.where(inside).select(*block, *[F.col(c).cast("long").alias(c) for c in "zyx"], F.col("v").cast("double").alias("v"))
+    ready = rows.where(inside).select(*block, *[F.col(c).cast("int").alias(c) for c in "zyx"], F.col("v").cast("double").alias("v"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A batch's voxels of one block in one row, places in the block and values as bytes."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            *keys, z, y, x, v = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(7))
+            order = np.lexsort(keys[::-1])
+            keys = [k[order] for k in keys]
+            place = (((z % size) * size + y % size) * size + x % size)[order].astype(np.int32)
+            edges = [0, *(np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1).tolist(), len(order)]
+            v = v[order]
+            cut = [[d[lo:hi].tobytes() for lo, hi in zip(edges[:-1], edges[1:], strict=True)] for d in (place, v)]
+            yield pa.RecordBatch.from_arrays([*[pa.array(k[edges[:-1]]) for k in keys], *[pa.array(c, pa.binary()) for c in cut]], [*_KEYS, "place", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, parts in _runs(batches, 3):
-            box = _box(shape, size, key)
-            data = np.zeros([hi - lo for lo, hi in box])
-            for z, y, x, v in parts:
-                data[z - box[0][0], y - box[1][0], x - box[2][0]] = v
-            yield _batch([(*key, data.tobytes())])
+            data = np.zeros((size,) * 3)
+            for places, values in parts:
+                for place, v in zip(places, values, strict=True):
+                    data.reshape(-1)[np.frombuffer(place, np.int32)] = np.frombuffer(v)
+            lengths = [hi - lo for lo, hi in _box(shape, size, key)]
+            yield _batch([(*key, np.ascontiguousarray(data[tuple(slice(0, n) for n in lengths)]).tobytes())])
 
-    return ready.repartition(*_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(run, _BLOCK)
+    sent = ready.mapInArrow(packed, "bz int, by int, bx int, place binary, v binary")
+    return sent.repartition(_tasks(shape, size), *_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(run, _BLOCK)
 
 
 def to_rows(blocks: DataFrame, shape: Shape, names: list[str] | None = None, size: int = SIZE) -> DataFrame:
@@ -90,6 +117,17 @@ def to_rows(blocks: DataFrame, shape: Shape, names: list[str] | None = None, siz
     return blocks.select(*_KEYS, "data").mapInArrow(run, ", ".join(["z long, y long, x long", *[f"{n} double" for n in names]]))
 
 
+def mapped(blocks: DataFrame, solve: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Blocks of ``solve`` of each block's values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = pa.array([solve(np.frombuffer(d)).tobytes() for d in batch.column(3).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(3)], data], [*_KEYS, "data"])
+
+    return blocks.select(*_KEYS, "data").mapInArrow(run, _BLOCK)
+
+
 def _slabs(shape: Shape, size: int, halo: int):
     """What each block sends: its own voxels to itself, and to others those within ``halo`` of them."""
 
@@ -126,10 +164,10 @@ def mirrored(at: np.ndarray, n: int) -> np.ndarray:
     return np.where(k < n, k, 2 * n - 1 - k)
 
 
-def filtered(blocks: DataFrame, shape: Shape, halo: int, solve: Callable[[np.ndarray], np.ndarray], size: int = SIZE, mirror: bool = True) -> DataFrame:
+def filtered(blocks: DataFrame, shape: Shape, halo: int, solve: Callable[[np.ndarray], np.ndarray], size: int = SIZE, mirror: bool = True, beyond: float = 0.0) -> DataFrame:
     """Blocks of ``solve`` of each block with ``halo`` voxels around it: values of the block, one array or several.
 
-    Beyond the volume's faces voxels are mirrored, or 0.
+    Beyond the volume's faces voxels are mirrored, or ``beyond``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,11 +184,11 @@ def filtered(blocks: DataFrame, shape: Shape, halo: int, solve: Callable[[np.nda
                 else:
                     gaps = [(0, 0)] * 3
                     gaps[axis] = (max(0, halo - lo), max(0, hi + halo - n))
-                    held = np.pad(held, gaps)
+                    held = np.pad(held, gaps, constant_values=beyond)
             yield _batch([(*key, np.ascontiguousarray(solve(held), float).tobytes())])
 
     sent = blocks.select(*_KEYS, "data").mapInArrow(_slabs(shape, size, halo), "bz int, by int, bx int, z0 long, z1 long, y0 long, y1 long, x0 long, x1 long, data binary")
-    return sent.repartition(*_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(run, _BLOCK)
+    return sent.repartition(_tasks(shape, size), *_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(run, _BLOCK)
 
 
 def kernel(sigma: float, order: int = 0, truncate: float = 4.0) -> np.ndarray:
@@ -290,7 +328,11 @@ def core_holes(mask: DataFrame, shape: Shape, most: int) -> DataFrame:
     """(z, y, x): voxels outside ``mask`` (z, y, x) that a slice along some axis encloses, in regions of at most ``most``.
 
     Each axis has its own slices; a region of a slice counts by its four neighbours there and is open if it meets the edge.
+    A region of at most NEAR voxels lies that near to each of its own, so a block finds it with as many voxels around it;
+    larger ones are found over the whole volume.
     """
+    if most <= NEAR:
+        return _holes_in_blocks(mask, shape, most)
     from filamenta.operators.graph import connected_components
 
     spark = mask.sparkSession
@@ -315,3 +357,51 @@ def core_holes(mask: DataFrame, shape: Shape, most: int) -> DataFrame:
     return found.distinct()
 
 
+def _holes_in_blocks(mask: DataFrame, shape: Shape, most: int) -> DataFrame:
+    """``core_holes`` by blocks with ``most`` voxels around them.
+
+    A region that reaches from a block to the end of what it sees has more than ``most`` voxels.
+    """
+    from filamenta.operators.graph import forest
+
+    inside = mask.select("z", "y", "x").where(" and ".join(f"{c} >= 0 and {c} < {n}" for c, n in zip("zyx", shape, strict=True)))
+    counts = [-(-n // SIZE) for n in shape]
+    of = F.col("id")
+    every = mask.sparkSession.range(counts[0] * counts[1] * counts[2]).select(F.expr(f"cast(id div {counts[1] * counts[2]} as int)").alias("bz"), F.expr(f"cast(id div {counts[2]} % {counts[1]} as int)").alias("by"), (of % counts[2]).cast("int").alias("bx"))
+
+    def empty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks without a voxel of the mask are all void."""
+        for batch in batches:
+            for *key, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n = math.prod(hi - lo for lo, hi in _box(shape, SIZE, tuple(key)))
+                yield _batch([(*key, np.zeros(n).tobytes() if data is None else data)])
+
+    held = every.join(to_blocks(inside.withColumn("v", F.lit(1.0)), shape), _KEYS, "left").select(*_KEYS, "data").mapInArrow(empty, _BLOCK)
+
+    def solve(seen: np.ndarray) -> np.ndarray:
+        """2 beyond the volume, 1 in the mask, 0 void."""
+        void, beyond = seen == 0, seen == 2
+        found = np.zeros(seen.shape, bool)
+        number = np.cumsum(void).reshape(seen.shape) - 1
+        n = int(void.sum())
+        for axis in range(3):
+            i, j, rim = [], [], np.zeros(n, bool)
+            for c in (k for k in range(3) if k != axis):
+                low, high = [slice(None)] * 3, [slice(None)] * 3
+                low[c], high[c] = slice(None, -1), slice(1, None)
+                low, high = tuple(low), tuple(high)
+                both = void[low] & void[high]
+                i.append(number[low][both])
+                j.append(number[high][both])
+                rim[number[low][void[low] & beyond[high]]] = True
+                rim[number[high][void[high] & beyond[low]]] = True
+            root = forest(n, np.concatenate(i), np.concatenate(j))
+            open_ = np.zeros(n, bool)
+            open_[root[rim]] = True
+            small = (np.bincount(root, minlength=n) <= most) & ~open_
+            found[void] |= small[root]
+        cut = tuple(slice(most, k - most) for k in seen.shape)
+        return found[cut]
+
+    holes = filtered(held, shape, most, solve, mirror=False, beyond=2.0)
+    return to_rows(holes, shape).where("v > 0").select("z", "y", "x")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from filamenta.functions import random as rnd
-from filamenta.operators import baseline, blocks, mixture, numbering, ties
+from filamenta.operators import baseline, blocks, mixture, numbering, ties, volumes
 
 VERTICES = "fiber_id long, seq long, x double, y double, z double"
 
@@ -225,3 +225,36 @@ def test_distances_to_the_nearest_site(spark, size, share):
     at = np.indices(SHAPE).reshape(3, -1).T
     want = np.full(SHAPE, np.inf) if not len(sites) else np.sqrt(((at[:, None] - sites) ** 2).sum(2).min(1)).reshape(SHAPE)
     assert np.allclose(got, want)
+
+
+def test_holes_by_blocks_are_those_of_the_whole_volume(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    shape = (34, 3, 35)
+    mask = rng.random(shape) < 0.7
+    rows = spark.createDataFrame([tuple(map(int, p)) for p in np.argwhere(mask)], "z long, y long, x long")
+    near = blocks.core_holes(rows, shape, 3)
+    assert "_holes_in_blocks" in blocks.core_holes.__code__.co_names and "Generate" not in near._jdf.queryExecution().toString()
+    got = sorted(map(tuple, near.collect()))
+    monkeypatch.setattr(blocks, "NEAR", 0)
+    assert got == sorted(map(tuple, blocks.core_holes(rows, shape, 3).collect())) and got
+
+
+def test_blocks_without_a_voxel_of_the_mask_are_void(spark):
+    ring = [(z, y, x) for z, y, x in np.ndindex(70, 3, 3) if z == 66 and (y, x) != (1, 1)]
+    got = blocks.core_holes(spark.createDataFrame([tuple(map(int, p)) for p in ring], "z long, y long, x long"), (70, 3, 3), 1)
+    assert [tuple(r) for r in got.collect()] == [(66, 1, 1)]
+
+
+def test_voxels_reach_their_block_packed_and_blocks_are_dealt_by_voxels(spark):
+    """A shuffled row is a batch's voxels of a block, and equal blocks do not meet in one task as they compress well."""
+    rows = spark.range(640 * 64).select(F.lit(0).alias("z"), F.expr("id div 64").alias("y"), F.expr("id % 64").alias("x"), F.lit(1.0).alias("v"))
+    made = blocks.to_blocks(rows, (1, 640, 64))
+    assert "place" in made._jdf.queryExecution().toString()
+    assert blocks._tasks((1, 64_000, 64), 32) == 8 and blocks.to_blocks(rows, (1, 64_000, 64)).rdd.getNumPartitions() == 8
+    assert blocks.to_rows(made, (1, 640, 64)).agg(F.sum("v"), F.count("*")).first()[:] == (40960.0, 40960)
+
+
+def test_distances_of_pixels_that_are_there(spark):
+    image = spark.createDataFrame([(0, 0, 1.0), (0, 3, 0.0), (0, 3, 0.0), (2, 0, None)], "row long, col int, v double")
+    found = volumes.distance_transform(image, F.col("v") > 0.5)
+    assert sorted(map(tuple, found.collect())) == [(0, 0, 0.0), (0, 3, 3.0), (2, 0, 2.0)]
