@@ -37,13 +37,13 @@ def both(spark, monkeypatch, name):
     return sorted(map(plain, df.select(*names).collect()), key=str), sorted(map(plain, found.fetchall()), key=str)
 
 
-@pytest.mark.parametrize("name", ["capture_contacts", "junction_candidates"])
+@pytest.mark.parametrize("name", ["capture_contacts", "junction_candidates", "segment_corrections"])
 def test_all_segments_and_copies(spark, monkeypatch, name):
     got, want = both(spark, monkeypatch, name)
     assert got == want and len(want) > 50
 
 
-@pytest.mark.parametrize("name", ["capture_contacts", "junction_candidates"])
+@pytest.mark.parametrize("name", ["capture_contacts", "junction_candidates", "segment_corrections"])
 def test_long_segments_take_part(spark, monkeypatch, name):
     rows = [(0, 0, 0.0, 0.0, 0.0), (0, 1, 90.0, 0.0, 0.0), (1, 0, 45.0, -30.0, 0.25), (1, 1, 45.0, 30.0, 0.25)]
     monkeypatch.setattr(ad, "vertices", lambda *_: spark.createDataFrame(rows, VERTICES))
