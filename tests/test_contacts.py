@@ -4,9 +4,9 @@ import random
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 from filamenta import plans
+from filamenta.operators import contacts
 from filamenta.sources import adapters as ad
 
 VERTICES = "fiber_id long, seq long, x double, y double, z double"
@@ -22,9 +22,9 @@ def network(seed=3):
     return [(f, k, *p) for f, n in of.items() for k, p in enumerate(lines[n])]
 
 
-def both(spark, monkeypatch, name):
+def both(spark, monkeypatch, name, rows=None):
     """Rows of a query over a network with copies, and those of its SQL."""
-    rows = network()
+    rows = rows or network()
     monkeypatch.setattr(ad, "vertices", lambda *_: spark.createDataFrame(rows, VERTICES))
     df = plans.QUERIES[name](spark, "")
     con = duckdb.connect()
@@ -49,3 +49,11 @@ def test_long_segments_take_part(spark, monkeypatch, name):
     monkeypatch.setattr(ad, "vertices", lambda *_: spark.createDataFrame(rows, VERTICES))
     assert plans.QUERIES[name](spark, "").count() > 0
     assert "len <=" not in plans.ORACLE_SQL[name]
+
+
+def test_corrections_of_copies_are_summed_once(spark, monkeypatch):
+    rows = [(f, k, 4.0 * k, 0.3 * y, 0.1 * (k % 2)) for f, y in {0: 0, 1: 1, 2: 0, 3: 1, 4: 0, 5: 4}.items() for k in range(6)]
+    seen, sums = [], contacts.sums
+    monkeypatch.setattr(contacts, "sums", lambda lines, reach: seen.append(lines.count()) or sums(lines, reach))
+    got, want = both(spark, monkeypatch, "contact_corrections", rows)
+    assert got == want and len(want) == 30 and seen == [15]
