@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from filamenta import plans
-from filamenta.operators import contacts
+from filamenta.operators import contacts, scoring
 from filamenta.sources import adapters as ad
 
 VERTICES = "fiber_id long, seq long, x double, y double, z double"
@@ -57,3 +57,12 @@ def test_corrections_of_copies_are_summed_once(spark, monkeypatch):
     monkeypatch.setattr(contacts, "sums", lambda lines, reach: seen.append(lines.count()) or sums(lines, reach))
     got, want = both(spark, monkeypatch, "contact_corrections", rows)
     assert got == want and len(want) == 30 and seen == [15]
+
+
+def test_overlaps_between_samples_are_seen(spark):
+    v = spark.createDataFrame([(0, 0, 0.0, 0.0, 0.0), (0, 1, 90.0, 0.0, 0.0), (1, 0, 46.3, -30.0, 0.1), (1, 1, 46.3, 31.7, 0.1), (2, 0, 0.0, 9.0, 0.0), (2, 1, 40.0, 9.0, 0.0)], VERTICES)
+    r = spark.createDataFrame([(0, 0.25), (1, 0.25), (2, 0.25)], "fiber_id long, radius double")
+    row = scoring.geometry_report(v, r, 20.0).first()
+    assert row["penetration"] == pytest.approx(1.6) and row["overlapping"] == 1
+    assert scoring.geometry_report(v, r, 20.0, step=4.0).first()["overlapping"] == 0
+    assert "unnest(range" not in plans.ORACLE_SQL["geometry_report"]
