@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from filamenta import plans
-from filamenta.operators import contacts, scoring
+from filamenta.operators import alike, contacts, scoring
 from filamenta.sources import adapters as ad
 
 VERTICES = "fiber_id long, seq long, x double, y double, z double"
@@ -28,9 +28,9 @@ def both(spark, monkeypatch, name, rows=None):
     monkeypatch.setattr(ad, "vertices", lambda *_: spark.createDataFrame(rows, VERTICES))
     df = plans.QUERIES[name](spark, "")
     con = duckdb.connect()
-    con.execute("CREATE TABLE vertices (fiber_id BIGINT, seq BIGINT, x DOUBLE, y DOUBLE, z DOUBLE)")
-    con.executemany("INSERT INTO vertices VALUES (?, ?, ?, ?, ?)", rows)
-    text = plans.ORACLE_SQL[name].replace(f"WITH vertices AS ({ad.VIEWS['vertices']}),", "WITH ")
+    con.execute("CREATE TABLE given (fiber_id BIGINT, seq BIGINT, x DOUBLE, y DOUBLE, z DOUBLE)")
+    con.executemany("INSERT INTO given VALUES (?, ?, ?, ?, ?)", rows)
+    text = plans.ORACLE_SQL[name].replace(ad.VIEWS["vertices"], "SELECT * FROM given").replace(ad.VIEWS["fibers"], "SELECT DISTINCT fiber_id FROM given")
     found = con.execute(text)
     names = [d[0] for d in found.description]
     plain = lambda r: tuple(None if v is None else round(float(v), 5) + 0.0 for v in r)
@@ -59,6 +59,17 @@ def test_corrections_of_copies_are_summed_once(spark, monkeypatch):
     assert got == want and len(want) == 30 and seen == [15]
 
 
+@pytest.mark.parametrize("name", ["neighbour_histogram", "neighbour_turnover", "contact_dispersion", "overlap_counts"])
+def test_equal_fibers_are_looked_at_once(spark, monkeypatch, name):
+    rng = random.Random(5)
+    shapes = [[(12.0 * k + rng.uniform(-1, 1), rng.uniform(0, 3), 4.0) for k in range(60)] for _ in range(5)]
+    of = {1: 0, 2: 1, 3: 2, 4: 3, 5: 0, 6: 0, 8: 1, 9: 4, 12: 4}
+    seen, first_of = [], alike.first_of
+    monkeypatch.setattr(alike, "first_of", lambda rows, *a: seen.append(first_of(rows, *a).count()) or first_of(rows, *a))
+    got, want = both(spark, monkeypatch, name, [(f, k, *p) for f, n in of.items() for k, p in enumerate(shapes[n])])
+    assert got == want and seen == [300]
+
+
 def test_overlaps_between_samples_are_seen(spark):
     v = spark.createDataFrame([(0, 0, 0.0, 0.0, 0.0), (0, 1, 90.0, 0.0, 0.0), (1, 0, 46.3, -30.0, 0.1), (1, 1, 46.3, 31.7, 0.1), (2, 0, 0.0, 9.0, 0.0), (2, 1, 40.0, 9.0, 0.0)], VERTICES)
     r = spark.createDataFrame([(0, 0.25), (1, 0.25), (2, 0.25)], "fiber_id long, radius double")
